@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, simhash
+from . import langid, licenses, packing, pieces, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -41,7 +49,9 @@ def queries() -> dict[str, Query]:
     return {
         "op2_language_id": op2_language_id,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_resampling": op5_quality_resampling,
+        "op6_packing": op6_packing,
         "op8_license_scan": op8_license_scan,
     }
 
