@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, packing, pieces, quality, simhash
+from . import covertree, langid, licenses, packing, permutation, pieces, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,11 +40,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_language_id": op2_language_id,
@@ -52,7 +60,9 @@ def queries() -> dict[str, Query]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_resampling": op5_quality_resampling,
         "op6_packing": op6_packing,
+        "op7_permutation_ann": op7_permutation_ann,
         "op8_license_scan": op8_license_scan,
+        "op10_cover_tree": op10_cover_tree,
     }
 
 
