@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, langid, licenses, packing, permutation, pieces, quality, simhash
+from . import covertree, langid, licenses, packing, permutation, pieces, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     prototypes = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -55,6 +59,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc_round_trip": op1_warc_round_trip,
         "op2_language_id": op2_language_id,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_sentencepiece": op4_sentencepiece,
@@ -66,5 +71,18 @@ def queries() -> dict[str, Query]:
     }
 
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (
+  SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN w USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_round_trip": OP1_SQL}
