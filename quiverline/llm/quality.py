@@ -171,6 +171,8 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, c
     n = good.count()
     if n > max_rows:
         good = good.where(F.pmod(F.xxhash64("_g", F.lit(seed)), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+    # at most about `max_rows` ids, so every task can hold them and no text moves
+    good = F.broadcast(good)
     target = docs.select(F.col("doc_id").alias("_g"), "text").join(good, "_g", "left_semi")
     ratio = fit(docs, target)
     scores = materialise(score(docs, ratio, seed), "quality-scores")
