@@ -126,28 +126,57 @@ def fit(docs: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = SEED) -> dict
     return {r["lang"]: np.array(r["v"]) for r in sorted(got, key=lambda r: r["lang"])}
 
 
+class Predictor:
+    """Compares texts with prototypes."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]):
+        live = {k: v for k, v in prototypes.items() if np.linalg.norm(v) > 0}
+        self.names = sorted(live)
+        self.p = np.array([live[k] / np.linalg.norm(live[k]) for k in self.names], dtype=np.float32).reshape(len(self.names), -1)
+        self.enc: Encoder | None = None
+
+    def __call__(self, texts: list[str | None]) -> pd.DataFrame:
+        """lang_pred, score (the best cosine, at least 0), margin (its lead over the second), n_grams."""
+        self.enc = self.enc or Encoder()
+        v, n = self.enc.bundle(texts)
+        lang = np.full(len(n), "und", dtype=object)
+        score, margin = np.zeros(len(n)), np.zeros(len(n))
+        if self.names and len(n):
+            cos = (v @ self.p.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            best, top, ok = cos.argmax(1), np.sort(cos, axis=1), n > 0
+            lang[ok] = np.array(self.names, dtype=object)[best[ok]]
+            score[ok] = np.clip(top[ok, -1], 0, 1)
+            margin[ok] = top[ok, -1] - top[ok, -2] if len(self.names) > 1 else score[ok]
+        return pd.DataFrame({"lang_pred": lang, "score": score.astype(float), "margin": margin.astype(float), "n_grams": n})
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score, margin): score is the best cosine, at least 0; margin the lead over the second."""
-    live = {k: v for k, v in prototypes.items() if np.linalg.norm(v) > 0}
-    names = sorted(live)
-    p = np.array([live[k] / np.linalg.norm(live[k]) for k in names], dtype=np.float32).reshape(len(names), -1)
+    """(doc_id, lang_pred, score, margin), one row per row of `docs`."""
+    predictor = Predictor(prototypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder()
         for b in batches:
             ids = b["doc_id"].astype("Int64")
             for lo in range(0, len(b), 256):
-                v, n = enc.bundle(b["text"].iloc[lo : lo + 256].tolist())
-                lang = np.full(len(n), "und", dtype=object)
-                score, margin = np.zeros(len(n)), np.zeros(len(n))
-                if names:
-                    cos = (v @ p.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                    best = cos.argmax(1)
-                    top = np.sort(cos, axis=1)
-                    ok = n > 0
-                    lang[ok] = np.array(names, dtype=object)[best[ok]]
-                    score[ok] = np.clip(top[ok, -1], 0, 1)
-                    margin[ok] = top[ok, -1] - top[ok, -2] if len(names) > 1 else score[ok]
-                yield pd.DataFrame({"doc_id": ids.iloc[lo : lo + 256].to_numpy(dtype=object, na_value=None), "lang_pred": lang, "score": score.astype(float), "margin": margin.astype(float)})
+                out = predictor(b["text"].iloc[lo : lo + 256].tolist())
+                out.insert(0, "doc_id", ids.iloc[lo : lo + 256].to_numpy(dtype=object, na_value=None))
+                yield out.drop(columns="n_grams")
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, margin double")
+
+
+#: A text of this many trigrams that resembles no language this much is rejected.
+REJECT_GRAMS, REJECT_SCORE = 200, 0.2
+
+
+def keep(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of `docs`, all columns, that are in some language: not `und`, and not long yet like none of them."""
+    predictor = Predictor(prototypes)
+
+    @F.pandas_udf("boolean")
+    def known(text: pd.Series) -> pd.Series:
+        parts = [predictor(text.iloc[lo : lo + 256].tolist()) for lo in range(0, len(text), 256)]
+        out = pd.concat(parts) if parts else predictor([])
+        return pd.Series(((out["lang_pred"] != "und") & ((out["n_grams"] < REJECT_GRAMS) | (out["score"] >= REJECT_SCORE))).to_numpy(dtype=bool))
+
+    return docs.where(known(F.col("text")))

@@ -150,22 +150,33 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     return near.unionByName(rest)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed), one row per row of `docs`, texts without the lines that go."""
-    every, first, bits = line_table(docs)
-    spark = docs.sparkSession
+def _marked(docs: DataFrame) -> DataFrame:
+    """`docs`, all columns, with `_gone`: the places of the lines that go, or null."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every, first, bits = line_table(narrow)
     first = materialise(first, "line-table")
     near = similar_lines(first.select("seq", "n", "line"))
     verdict = first.join(near.withColumnRenamed("y", "seq").withColumn("near", F.lit(True)), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = every.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("seq") > F.col("first")))
     removed = materialise(gone.groupBy("_key").agg(F.collect_set("place").alias("_gone")), "line-removed")
-    keyed, _ = _document_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _x, i: ~F.array_contains(F.col("_gone"), i))
-    out = keyed.join(removed, "_key", "left")
-    return out.select(
+    return _document_keys(docs)[0].join(removed, "_key", "left").drop("_key")
+
+
+def _without() -> Column:
+    kept = F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains(F.col("_gone"), i))
+    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed), one row per row of `docs`, texts without the lines that go."""
+    return _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
         "doc_id",
-        F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        _without().alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def rewrite(docs: DataFrame) -> DataFrame:
+    """`docs`, all columns, with `text` rewritten and `n_chars` counted anew."""
+    return _marked(docs).withColumn("text", _without()).withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_gone")

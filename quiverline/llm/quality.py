@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,22 @@ def fit(docs: DataFrame, good: DataFrame, max_rows: int = MAX_FIT_ROWS) -> np.nd
     return np.log(p) - np.log(q)
 
 
+def _noise(seed: int) -> F.Column:
+    """52 random bits from the id."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), F.lit(seed)), 12)
+
+
+def _weigh(texts: list[str | None], noise: np.ndarray, ratio: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of n-grams, log weight, Gumbel noise) of each text."""
+    ids, n = ngrams(texts)
+    w = np.zeros(len(n))
+    if len(ids) and ratio is not None:
+        has = n > 0
+        w[has] = np.add.reduceat(ratio[ids], (np.cumsum(n) - n)[has])
+    w[n == 0] = -np.inf
+    return n, w, -np.log(-np.log((noise + 0.5) / (1 << 52)))
+
+
 def score(docs: DataFrame, ratio: np.ndarray | None, seed: int = SEED) -> DataFrame:
     """(doc_id, n_grams, log_weight, gumbel): the noise depends on the id and the seed only."""
 
@@ -125,17 +142,11 @@ def score(docs: DataFrame, ratio: np.ndarray | None, seed: int = SEED) -> DataFr
         for b in batches:
             for lo, hi in blocks(b["text"]):
                 part = b.iloc[lo:hi]
-                ids, n = ngrams(part["text"].tolist())
-                w = np.zeros(len(n))
-                if len(ids) and ratio is not None:
-                    has = n > 0
-                    w[has] = np.add.reduceat(ratio[ids], (np.cumsum(n) - n)[has])
-                w[n == 0] = -np.inf
-                u = (part["noise"].to_numpy(dtype=np.float64) + 0.5) / (1 << 52)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n_grams": n, "log_weight": w, "gumbel": -np.log(-np.log(u))})
+                n, w, gumbel = _weigh(part["text"].tolist(), part["noise"].to_numpy(dtype=np.float64), ratio)
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n_grams": n, "log_weight": w, "gumbel": gumbel})
 
-    noise = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), 12).alias("noise")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", noise).mapInPandas(run, "doc_id long, n_grams long, log_weight double, gumbel double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", _noise(seed).alias("noise"))
+    return rows.mapInPandas(run, "doc_id long, n_grams long, log_weight double, gumbel double")
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
@@ -165,26 +176,53 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return hi if lo == hi else float(rows.where((x >= lo) & (x <= hi)).groupBy(x.alias("x")).count().orderBy(F.desc("x")).limit(1).first()["x"])
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, clean_loss: float = CLEAN_LOSS, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, sample_key, kept), one row per row of `docs`."""
+@dataclass(frozen=True)
+class Model:
+    """What a decision needs: log ratios (None: nothing was labelled good), tilt, least key kept, seed of the noise."""
+
+    ratio: np.ndarray | None
+    cut: float
+    least: float
+    seed: int
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, clean_loss: float = CLEAN_LOSS, seed: int = SEED) -> tuple[Model, DataFrame]:
+    """The model, and (doc_id, n_grams, log_weight, sample_key) of every row of `docs`."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_g")).where("_g IS NOT NULL").distinct()
     n = good.count()
     if n > max_rows:
         good = good.where(F.pmod(F.xxhash64("_g", F.lit(seed)), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
     # at most about `max_rows` ids, so every task can hold them and no text moves
     good = F.broadcast(good)
-    target = docs.select(F.col("doc_id").alias("_g"), "text").join(good, "_g", "left_semi")
-    ratio = fit(docs, target)
+    ratio = fit(docs, docs.select(F.col("doc_id").alias("_g"), "text").join(good, "_g", "left_semi"))
     scores = materialise(score(docs, ratio, seed), "quality-scores")
-    if ratio is None:
-        cut = -1.0
-    else:
+    cut = None
+    if ratio is not None:
         mean = F.col("log_weight") / F.col("n_grams")
         known = scores.join(good, scores["doc_id"] == good["_g"], "left_semi").where("n_grams > 0")
         cut = known.agg(F.percentile_approx(mean, F.lit(clean_loss), F.lit(10_000)).alias("c")).first()["c"]
-        cut = -1.0 if cut is None else cut - SLACK
+    cut = -1.0 if cut is None else cut - SLACK
     weighed = scores.select("doc_id", "n_grams", (F.col("log_weight") - F.col("n_grams") * F.lit(cut)).alias("log_weight"), "gumbel")
     k = weighed.where("log_weight >= 0").count()
     keyed = weighed.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") + F.col("gumbel")).alias("sample_key"))
-    least = kth_largest(keyed, "sample_key", k)
-    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(least))
+    return Model(ratio, cut, kth_largest(keyed, "sample_key", k), seed), keyed
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_grams, log_weight, sample_key, kept), one row per row of `docs`."""
+    model, keyed = train(docs, labels, **options)
+    return keyed.withColumn("kept", F.col("sample_key") >= F.lit(model.least))
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, that the model keeps: decided where they lie, so no text moves."""
+
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series, noise: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), dtype=bool)
+        for lo, hi in blocks(text):
+            n, w, gumbel = _weigh(text.iloc[lo:hi].tolist(), noise.iloc[lo:hi].to_numpy(dtype=np.float64), model.ratio)
+            out[lo:hi] = (w - n * model.cut) + gumbel >= model.least
+        return pd.Series(out)
+
+    return docs.where(kept(F.col("text"), _noise(model.seed)))

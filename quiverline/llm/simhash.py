@@ -113,3 +113,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     rep = nodes.join(comp, nodes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("c"))
     out = fps.join(rep, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each component: that of its smallest doc_id (of rows that repeat it, the least by `columns`); rows with a null id stay."""
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rest = [c for c in columns if c != "doc_id"]
+    chosen = docs.select(*columns).join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r"))
+    return chosen.select("doc_id", *(f"r.{c}" for c in rest)).select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
