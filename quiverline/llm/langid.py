@@ -132,7 +132,7 @@ class Predictor:
     def __init__(self, prototypes: dict[str, np.ndarray]):
         live = {k: v for k, v in prototypes.items() if np.linalg.norm(v) > 0}
         self.names = sorted(live)
-        self.p = np.array([live[k] / np.linalg.norm(live[k]) for k in self.names], dtype=np.float32).reshape(len(self.names), -1)
+        self.p = np.array([live[k] / np.linalg.norm(live[k]) for k in self.names], dtype=np.float32) if live else np.zeros((0, DIM), dtype=np.float32)
         self.enc: Encoder | None = None
 
     def __call__(self, texts: list[str | None]) -> pd.DataFrame:

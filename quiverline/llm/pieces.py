@@ -260,6 +260,9 @@ class Encoder:
 
     def segments(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size) of the encodings of the segments, none of which holds a stray character."""
+        if not segs:
+            none = np.empty(0, dtype=np.int64)
+            return none, none, none
         joined = "\0".join(segs) + "\0"
         flat = self.known[np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)]
         size = np.array([len(s) for s in segs])
@@ -267,11 +270,11 @@ class Encoder:
         start, row = self.edges(flat)
         seg_of = np.repeat(np.arange(len(segs)), size + 1)
         end_rel = start + self.piece_len[row] - begin[seg_of[start]]  # characters of the segment up to the edge's end
-        order = np.argsort(end_rel.astype(np.uint16) if len(segs) and size.max() < 65536 else end_rel, kind="stable")
+        order = np.argsort(end_rel.astype(np.uint16) if size.max() < 65536 else end_rel, kind="stable")
         start, row, end_rel = start[order], row[order], end_rel[order]
         first = start == begin[seg_of[start]]
         piece = self.piece_ids[row]
-        bounds = np.searchsorted(end_rel, np.arange(1, (int(size.max()) if len(segs) else 0) + 2))
+        bounds = np.searchsorted(end_rel, np.arange(1, int(size.max()) + 2))
         last = np.full(len(flat), -1, dtype=np.int64)
         count = np.zeros(len(flat), dtype=np.int64)
         back = np.zeros(len(flat), dtype=np.int64)
@@ -292,7 +295,7 @@ class Encoder:
         n_ids = count[finish]
         out_end = np.cumsum(n_ids)
         out_start = out_end - n_ids
-        out = np.zeros(int(out_end[-1]) if len(segs) else 0, dtype=np.int64)
+        out = np.zeros(int(out_end[-1]), dtype=np.int64)
         at, to, left = finish.copy(), out_end - 1, n_ids.copy()
         while len(at):
             out[to] = last[at]
