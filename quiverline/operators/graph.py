@@ -203,4 +203,4 @@ def search(queries: DataFrame, index: DataFrame, k: int, width: int = 50) -> Dat
 
         found = index.select("graph").mapInPandas(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return ranked(out, k).select("query_id", "rank", "id", "distance")
+    return ranked(queries.sparkSession.createDataFrame([], FOUND) if out is None else out, k).select("query_id", "rank", "id", "distance")

@@ -58,7 +58,7 @@ def step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray
             np.add.at(total, cell, x)
             n += np.bincount(cell, minlength=len(centroids))
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"cell": at, "n": n[at], "total": list(total[at])})
+        yield pd.DataFrame({"cell": at, "n": n[at], "total": pd.Series(total[at].tolist(), dtype=object)})
 
     part = rows.select("vector").mapInPandas(run, "cell long, n long, total array<double>")
     sums = part.select("cell", "n", F.posexplode("total").alias("pos", "x")).groupBy("cell", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))

@@ -26,7 +26,9 @@ FOUND = "query_id long, id long, distance double"
 
 
 def ranked(found: DataFrame, k: int, by: str = "distance") -> DataFrame:
-    """The k best rows of each query; Spark limits each task to k a query before it shuffles."""
+    """The k best rows of each query, none for k <= 0; Spark limits each task to k a query before it shuffles."""
+    if k <= 0:
+        return found.withColumn("rank", F.lit(0)).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.col(by), F.col("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
 
@@ -43,12 +45,16 @@ def query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
     first = queries.select(F.size("query").alias("d")).limit(1).collect()
     per = max(1, QUERY_FLOATS // max(1, first[0]["d"] if first else 1))
     n = queries.count()
+    if not n:
+        return
     if n <= per:
         yield queries.select("query_id", "query").toPandas()
         return
     parts = -(-n // per) * 2
     for p in range(parts):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "query").toPandas()
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "query").toPandas()
+        if len(block):
+            yield block
 
 
 def scan(queries: DataFrame, rows: DataFrame, k: int, score: Callable[[np.ndarray, pd.DataFrame], np.ndarray], columns: list[str]) -> DataFrame:
@@ -75,7 +81,7 @@ def scan(queries: DataFrame, rows: DataFrame, k: int, score: Callable[[np.ndarra
 
         found = rows.select(*columns).mapInPandas(run, FOUND)
         out = found if out is None else out.unionByName(found)
-    return ranked(out, k).select("query_id", "rank", "id", "distance")
+    return ranked(rows.sparkSession.createDataFrame([], FOUND) if out is None else out, k).select("query_id", "rank", "id", "distance")
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, metric: Metric = Metric.L2) -> DataFrame:
