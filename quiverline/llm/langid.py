@@ -165,8 +165,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, margin double")
 
 
-#: A text of this many trigrams that resembles no language this much is rejected.
-REJECT_GRAMS, REJECT_SCORE = 200, 0.2
+#: A text of this many trigrams that resembles no language this much is rejected; a language that was not learned resembles others more.
+REJECT_GRAMS, REJECT_SCORE = 200, 0.05
 
 
 def keep(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:

@@ -42,7 +42,10 @@ def test_pipeline(spark):
     one = corpus_pipeline.STAGES[0][1](spark, docs, SF).cache()
     assert {r["doc_id"] for r in one.collect()} == kept and one.columns == docs.columns
     two = corpus_pipeline.STAGES[1][1](spark, one, SF).cache()
-    rejected = {r["doc_id"] for r in langid.predict(one, langid.fit(one)).where("lang_pred = 'und'").collect()}
+    predict = langid.Predictor(langid.fit(one.where(~langid.held_out(one["doc_id"]))))
+    told = one.toPandas()
+    got = predict(told["text"].tolist())
+    rejected = set(told["doc_id"][(got["lang_pred"] == "und") | ((got["n_grams"] >= 200) & (got["score"] < 0.05))])
     assert {r["doc_id"] for r in two.collect()} == kept - rejected
     three = corpus_pipeline.STAGES[2][1](spark, two, SF).cache()
     assert {(r["doc_id"], r["text"]) for r in three.collect()} == {(r["doc_id"], r["text"]) for r in linededup.dedup_lines(two).collect()}
