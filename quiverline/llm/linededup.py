@@ -1,13 +1,13 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
 A line is the set of its lower-cased words.  Its tokens are ordered from rare to frequent; two lines whose sets have a Jaccard
-similarity of at least 4/5 share a token within their prefixes (the first n / 5 + 1 of n), must be of similar length, and
-must have room for the overlap they need behind the shared token's places.  Pairs that pass these filters are verified on the
+similarity of at least 4/5 share a token within their prefixes, which rules of length and place make short, must be of
+similar length, and can differ in few bits of a bitmap of their tokens.  Pairs that pass these filters are verified on the
 whole sets.  A line goes if any earlier line (by doc_id, then place) has the same set or a similar one.
 
 Rarity is the number of times that the token's bucket (of 65,536) occurs in the different lines of all documents: a table of
-fixed size whatever the vocabulary, and a total order with the token's hash behind it, so the join is exact.  Equal sets
-are one line throughout.  In a large group of variants every line would meet every other, so lines first meet only the
+fixed size whatever the vocabulary, and a total order with the token's hash behind it, so the join is exact.  Lines of
+equal text are one throughout.  In a large group of variants every line would meet every other, so lines first meet only the
 earliest line that shares one of their rarest tokens; only lines that this leaves alone go on to meet all earlier ones.
 
 Defined results: a null or empty text stays as it is; blank lines stay and match nothing; rows with a null doc_id stay
@@ -17,6 +17,8 @@ whose lines all go has an empty text and stays; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,16 +28,23 @@ from .common import drop_path, materialise, new_path
 BUCKETS = 1 << 16
 #: Rarest tokens of a line by which it meets the earliest line of each.
 PIVOT_TOKENS = 3
-_HASH = (1 << 50) - 1
+#: Words from which on a line is long.
+LONG = 64
+#: Turns that the tokens are joined in.
+TURNS = 4
+_HASH_BITS = 50
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
+    """Lower-cased words between white space."""
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " "), "")
 
 
 def _set(line: Column) -> Column:
-    """Sorted different token hashes of a line."""
-    return F.sort_array(F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t))))
+    """Different token hashes of a line."""
+    return F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t)))
 
 
 def _document_keys(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -57,44 +66,62 @@ def _document_keys(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.join(ranked, "doc_id", "left"), bits
 
 
-def _prefixes(lines: DataFrame, classes: bytes) -> DataFrame:
-    """(seq, token, n, pos) for the prefix of each line of four words or more; shorter sets are similar to none but themselves."""
-    table = F.lit(bytearray(classes))
+def _heads(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """(seq, n, bits, bits0, bits1, head): the prefix of each line's set, rarest first, and the bits that its tokens set: 64,
+    or of long lines, 128.
+
+    The order is by class of rarity, then longer words (they are rarer), then the hash.  Sets of fewer than four words are similar
+    to none but themselves, so their whole set is their one token.
+    """
+    # a constant that Spark folds into one array
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
     def ranked(t: Column) -> Column:
-        """Class of rarity, then longer words first (they are rarer), then the hash."""
         h = F.xxhash64(t)
-        cls = F.ascii(F.substring(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-        short = F.lit(63) - F.least(F.length(t), F.lit(63))
-        return F.shiftleft(cls, 56).bitwiseOR(F.shiftleft(short.cast("long"), 50)).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
+        kind = F.get(table, F.shiftrightunsigned(h, 48).cast("int")) * F.lit(64).cast("smallint") - F.least(F.length(t), F.lit(63)) + 64
+        return F.shiftleft(kind.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    ordered = lines.where("n >= 4").select("seq", "n", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), ranked))).alias("r"))
-    head = F.slice("r", F.lit(1), (F.col("n") / 5).cast("int") + 1)
-    bits = F.aggregate("r", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    return ordered.select("seq", "n", bits.alias("bits"), F.posexplode(head).alias("pos", "token"))
+    ordered = lines.select("seq", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), ranked))).alias("r"))
+    n = F.size("r")
+    head = F.when(n < 4, F.array(F.xxhash64("r"))).otherwise(F.slice("r", F.lit(1), (n / 5).cast("int") + 1))
+    one = F.lit(1).cast("long")
+    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("long")
+    # lines of 5/4 of LONG and more meet long lines only
+    bits = F.when(n < LONG * 5 // 4, F.aggregate("r", zero, lambda a, t: a.bitwiseOR(bit(t))))
 
+    def half(w: int) -> Column:
+        """The bits of the tokens that fall to one of two words."""
+        mine = lambda t: F.when(t.bitwiseAND(F.lit(64)) == 64 * w, bit(t)).otherwise(zero)
+        return F.when(n >= LONG, F.aggregate("r", zero, lambda a, t: a.bitwiseOR(mine(t)))).alias(f"bits{w}")
 
-def _may_match(n: Column, bits: Column, xn: Column, xb: Column) -> Column:
-    """Similar lengths, and few bits apart: each bit that only one line's tokens set is a token apart."""
-    return (xn * 5 >= n * 4) & (n * 5 >= xn * 4) & (F.bit_count(bits.bitwiseXOR(xb)) * 9 <= xn + n)
+    more = [half(w) for w in range(2)]
+    return ordered.select("seq", n.alias("n"), bits.alias("bits"), *more, head.alias("head"))
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(x, y) of earlier lines x of `right` and later ones y of `left` that pass all filters.
+def _pairs(heads: DataFrame, turn: int) -> DataFrame:
+    """(x, y), x before y and y `alone`, from `heads(seq, n, bits, bits0, bits1, head, alone)`, by the tokens of one turn.
 
-    In the join: `_may_match`.  For each pair then: room for the overlap behind the first shared token; and enough
-    shared tokens c.  All tokens of the other line up to the end of the prefix that ends first lie in its own prefix, so it
-    misses what is not shared of that one: the overlap is at most n - (p - c) for that side, p being its prefix's length.
+    A shorter line s and a longer one l of at most 5/4 of its length need an overlap of 4/9 of both lengths, which is at least 8/9
+    of s and 4/5 of l; so a token of the first |s| / 9 + 1 of s is among the first |l| / 5 + 1 of l.  In the join: lengths,
+    and few bits apart, as each bit that only one line's tokens set is a token apart.
     """
-    x = right.select("token", F.col("seq").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("bits").alias("xb"))
-    y = left.select("token", F.col("seq").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("bits").alias("yb"))
-    xn, yn = F.col("xn"), F.col("yn")
-    met = y.join(x, "token").where((F.col("x") < F.col("y")) & _may_match(yn, F.col("yb"), xn, F.col("xb")))
-    pair = met.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.min("xp").alias("xp"), F.min("yp").alias("yp"))
-    room = F.least(xn - F.col("xp"), yn - F.col("yp"))
-    need = (xn + yn) * 4
-    spare = F.greatest(xn - (xn / 5).cast("int"), yn - (yn / 5).cast("int")) - 1
-    return pair.where((room * 9 >= need) & ((F.col("c") + spare) * 9 >= need)).select("x", "y")
+    sets = heads.where("n >= 4")
+    kind = F.shiftleft("n", 1).bitwiseOR(F.col("alone").cast("int"))
+
+    def side(name: str, tokens: Column) -> DataFrame:
+        bits = [F.col(f"bits{w}").alias(f"{name}b{w}") for w in ("", 0, 1)]
+        return sets.select(F.col("seq").alias(name), kind.alias(f"{name}k"), *bits, F.explode(tokens).alias("token")).where(F.pmod("token", F.lit(TURNS)) == turn)
+
+    s, l = side("s", F.slice("head", F.lit(1), F.floor(F.col("n") / 9).cast("int") + 1)), side("l", F.col("head"))
+    sn, ln = F.shiftright("sk", 1), F.shiftright("lk", 1)
+    first = (sn < ln) | ((sn == ln) & (F.col("s") < F.col("l")))
+    alone = F.when(F.col("s") < F.col("l"), F.col("lk")).otherwise(F.col("sk")).bitwiseAND(F.lit(1)) == 1
+    apart = [F.bit_count(F.col(f"sb{w}").bitwiseXOR(F.col(f"lb{w}"))) for w in ("", 0, 1)]
+    # bits that a line lacks are null, and so no objection
+    near = [F.coalesce(d * 9 <= sn + ln, F.lit(True)) for d in (apart[0], apart[1] + apart[2])]
+    close = (sn * 5 >= ln * 4) & near[0] & near[1]
+    return s.join(l, "token").where(first & alone & close).select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -108,44 +135,51 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4).select("y").distinct()
 
 
-def line_table(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(lines of all documents, different lines with their first place, bits): lines are (_key, place, h1, h2)."""
+def line_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of all documents, different lines with their first place): lines are (_key, place, h1, h2, seq).
+
+    Lines are the same here if their lower-cased text is; the hashes have 128 bits together.
+    """
     keyed, bits = _document_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     split = keyed.where("_key IS NOT NULL AND text IS NOT NULL").select("_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    hashed = split.withColumn("_s", _set(F.col("line"))).where(F.size("_s") > 0)
-    hashed = hashed.select("_key", "place", "line", F.size("_s").alias("n"), F.xxhash64("_s").alias("h1"), F.xxhash64(F.lit(1), "_s").alias("h2"), F.shiftleft("_key", bits).bitwiseOR(F.col("place").cast("long")).alias("seq"))
-    first = hashed.groupBy("h1", "h2", "n").agg(F.min(F.struct("seq", "line")).alias("f")).select("h1", "h2", "n", "f.seq", "f.line")
-    return hashed.select("_key", "place", "h1", "h2", "seq"), first, bits
+    low = F.lower("line")
+    hashed = split.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select(
+        "_key", "place", "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("_key", bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
+    )
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "line")).alias("f")).select("h1", "h2", "f.seq", "f.line")
+    return hashed.select("_key", "place", "h1", "h2", "seq"), first
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """A byte for each bucket: `A` and, from four times the mean on, the logarithm of how often its tokens occur in the different lines."""
+def rarity(lines: DataFrame) -> list[int]:
+    """For each bucket (the hash's highest bits): 0, or from four times the mean on, the logarithm of how often its
+    tokens occur in the different lines."""
     words = lines.select(F.explode(_tokens(F.col("line"))).alias("t"))
-    counts = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).count().collect()
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 48).alias("b")).count().collect()
     # up to a few times the mean a bucket's count says nothing of its tokens
     usual = 4 * max(1.0, sum(r["count"] for r in counts) / BUCKETS)
-    out = bytearray(b"A" * BUCKETS)
+    out = [0] * BUCKETS
     for r in counts:
-        out[r["b"]] = ord("A") + int(r["count"] / usual).bit_length()
-    return bytes(out)
+        out[r["b"]] = int(r["count"] / usual).bit_length()
+    return out
 
 
 def similar_lines(lines: DataFrame) -> DataFrame:
-    """`seq` of the lines that an earlier line of `lines(seq, n, line)` is similar to, though not equal as a set."""
+    """`seq` of the lines that an earlier line of `lines(seq, line)` is similar to or equals as a set."""
     spark = lines.sparkSession
-    path = new_path(spark, "line-prefixes")
-    _prefixes(lines, rarity(lines)).write.option("compression", "zstd").parquet(path)
-    prefix = spark.read.parquet(path)
+    path = new_path(spark, "line-heads")
+    _heads(lines, rarity(lines)).write.option("compression", "lz4").parquet(path)
+    heads = spark.read.parquet(path)
     # the earliest line of each rare token, met by all that share it
-    rare = prefix.where(F.col("pos") < PIVOT_TOKENS)
-    pivot = rare.groupBy("token").agg(F.min(F.struct("seq", "n", "bits")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    pivot = pivot.select("token", F.col("p.seq").alias("x"), F.col("p.n").alias("xn"), F.col("p.bits").alias("xb"))
-    meets = (F.col("seq") > F.col("x")) & _may_match(F.col("n"), F.col("bits"), F.col("xn"), F.col("xb"))
-    to_pivot = materialise(rare.join(pivot, "token").where(meets).select("x", F.col("seq").alias("y")).distinct(), "line-pivots")
+    rare = heads.select("seq", "n", F.explode(F.slice("head", 1, PIVOT_TOKENS)).alias("token"))
+    pivot = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.count("*").alias("c")).where("c > 1").drop("c")
+    to_pivot = materialise(rare.join(pivot, "token").where("seq > x AND xn * 5 >= n * 4 AND n * 5 >= xn * 4").select("x", F.col("seq").alias("y")).distinct(), "line-pivots")
     near = materialise(_verified(to_pivot, lines), "line-near")
-    alone = prefix.join(near.withColumnRenamed("y", "seq"), "seq", "left_anti")
-    pairs = _pairs(alone, prefix)
-    rest = materialise(_verified(materialise(pairs, "line-pairs"), lines), "line-rest")
+    marked = heads.join(near.select(F.col("y").alias("seq"), F.lit(False).alias("alone")), "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
+    marked = materialise(marked, "line-marked")
+    # turn by turn, so that the rows of one turn alone are on disk at a time
+    turns = [materialise(_pairs(marked, t), "line-pairs") for t in range(TURNS)]
+    pairs = reduce(DataFrame.unionByName, turns).distinct()
+    rest = materialise(_verified(pairs, lines), "line-rest")
     drop_path(spark, path)
     return near.unionByName(rest)
 
@@ -153,9 +187,9 @@ def similar_lines(lines: DataFrame) -> DataFrame:
 def _marked(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with `_gone`: the places of the lines that go, or null."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every, first, bits = line_table(narrow)
+    every, first = line_table(narrow)
     first = materialise(first, "line-table")
-    near = similar_lines(first.select("seq", "n", "line"))
+    near = similar_lines(first.select("seq", "line"))
     verdict = first.join(near.withColumnRenamed("y", "seq").withColumn("near", F.lit(True)), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = every.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("seq") > F.col("first")))
     removed = materialise(gone.groupBy("_key").agg(F.collect_set("place").alias("_gone")), "line-removed")
