@@ -26,7 +26,7 @@ def db():
 
 def rows(df: pd.DataFrame) -> list[str]:
     def one(x):
-        if x is None or (np.isscalar(x) and pd.isna(x)):
+        if x is None or x is pd.NA or (np.isscalar(x) and pd.isna(x)):
             return None
         return round(float(x), 6) if isinstance(x, (int, float, np.integer, np.floating)) and not isinstance(x, bool) else str(x)
 
