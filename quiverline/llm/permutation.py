@@ -9,7 +9,8 @@ order pivots only; scores are inner products of the original vectors in double p
 
 The vectors are dealt at random into blocks of bounded size, each with inverted files of its own, and the queries
 into blocks that meet each vector block once; a block's best are reranked there, so only the k best of each block move.
-The rerank takes a fixed share of every block, so the work is the same for each query and block.
+The rerank takes a fixed share of every block, so the work is the same for each query and block, and what ties with the
+last of it.  Equal vectors of a block are posted once with all their ids, so copies neither crowd the share nor are cut by it.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most, take
 no part; with fewer candidates than k, all are returned; equal scores go to the smaller id; repeated ids are
@@ -91,8 +92,8 @@ class InvertedFiles:
         self.gain = (by % self.kept).astype(np.int32)
         self.bounds = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
 
-    def nearest(self, order: np.ndarray, m: int) -> np.ndarray:
-        """The m vectors of least footrule distance to a query's ordered pivots."""
+    def nearest(self, order: np.ndarray, m: int, ties: bool = False) -> np.ndarray:
+        """The m vectors of least footrule distance to a query's ordered pivots; with `ties`, all that tie with the m-th too."""
         k = self.kept
         # all distances but for a constant: what each shared pivot saves against both sides missing it
         saved = np.zeros(self.n, dtype=np.int32)
@@ -100,7 +101,41 @@ class InvertedFiles:
             a, b = self.bounds[p], self.bounds[p + 1]
             at = self.gain[a:b]
             saved[self.owner[a:b]] += (k - place) + (k - at) - np.abs(at - place)
-        return np.arange(self.n) if m >= self.n else np.argpartition(-saved, m - 1)[:m]
+        if m >= self.n:
+            return np.arange(self.n)
+        return np.flatnonzero(saved >= np.partition(saved, self.n - m)[self.n - m]) if ties else np.argpartition(-saved, m - 1)[:m]
+
+
+class Nodes:
+    """The different vectors of a block, each with its rows in order of id."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray):
+        """`x` in order of `ids`."""
+        self.ids = ids
+        # adding zero makes -0.0 equal to 0.0
+        self.of, first = pd.factorize(np.array([r.tobytes() for r in x + 0.0], dtype=object))
+        self.rows = np.argsort(self.of, kind="stable")
+        self.size = np.bincount(self.of, minlength=len(first))
+        self.start = np.cumsum(self.size) - self.size
+        self.x = x[self.rows[self.start]]
+
+    def best(self, c: np.ndarray, q: np.ndarray, qid: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k rows of largest inner product with `q` among the nodes `c`, rows of the query's own id left out."""
+        own = self.of[np.searchsorted(self.ids, qid, "left") : np.searchsorted(self.ids, qid, "right")]
+        left = self.size[c] - (own[:, None] == c[None, :]).sum(0)
+        c = c[left > 0]
+        # summed row by row: equal vectors score alike in whatever block and place
+        s = (self.x[c] * q).sum(1)
+        if len(c) > k:
+            # everything that ties with the k-th stays until ids decide
+            top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+            c, s = c[top], s[top]
+        take = np.minimum(self.size[c], k + len(own))
+        rows = self.rows[np.repeat(self.start[c] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
+        ids, s = self.ids[rows], np.repeat(s, take)
+        ids, s = ids[ids != qid], s[ids != qid]
+        at = np.lexsort((ids, -s))[:k]
+        return ids[at], s[at]
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOTS, kept: int = KEPT_PIVOTS, share: float = RERANK_SHARE) -> DataFrame:
@@ -126,21 +161,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
         out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         if not len(queries) or not len(mine):
             return out
-        x, ids, q = stacked(mine["v"]), mine["id"].to_numpy(), stacked(queries["v"])
-        files = InvertedFiles(lift(x, longest), piv, kept)
+        x, q = stacked(mine["v"]), stacked(queries["v"])
+        nodes = Nodes(x, mine["id"].to_numpy())
+        files = InvertedFiles(lift(nodes.x, longest), piv, kept)
         orders = ordered_pivots(np.column_stack([q, np.zeros(len(q))]), piv, kept)
-        m = min(len(x), max(RERANK_LEAST, 4 * k, int(share * len(x))))
+        m = max(RERANK_LEAST, 4 * k, int(share * len(x)))
         got = []
         for qid, qv, order in zip(queries["id"].to_numpy(), q, orders):
-            c = files.nearest(order, m)
-            c = c[ids[c] != qid]
-            s = x[c] @ qv
-            if len(c) > k:
-                # everything that ties with the k-th stays until ids decide
-                top = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                c, s = c[top], s[top]
-            best = np.lexsort((ids[c], -s))[:k]
-            got.append((np.full(len(best), qid), ids[c[best]], s[best]))
+            best, s = nodes.best(files.nearest(order, m, ties=True), qv, qid, k)
+            got.append((np.full(len(best), qid), best, s))
         return pd.DataFrame({name: np.concatenate(col) for name, col in zip(out.columns, zip(*got))})
 
     found = data.unionByName(asks).groupBy("block", "q_block").applyInPandas(meet, schema)

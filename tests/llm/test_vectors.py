@@ -54,6 +54,19 @@ def test_recall_of_search(spark, cloud, monkeypatch):
     assert hit / n >= 0.9
 
 
+def test_copies_are_ranked_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    copies = np.sort(rng.permutation(2000)[:667])
+    x[copies] = 3 * x[0]
+    for block in (permutation.BLOCK, 700):
+        monkeypatch.setattr(permutation, "BLOCK", block)
+        rows = permutation.search(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()
+        for q in copies[copies % 20 == 0]:
+            got = [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])]
+            assert got == [i for i in copies if i != q][:20]
+
+
 def test_footrule_of_the_postings():
     rng = np.random.default_rng(14)
     x, p = rng.normal(size=(50, 5)), rng.normal(size=(12, 5))
