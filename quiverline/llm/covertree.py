@@ -28,9 +28,8 @@ from .common import connected_components, materialise
 from .permutation import stacked, usable
 
 COSINE = 0.9
-#: Vectors of the sample that centres are taken from; centres of a level at most.
+#: Vectors of the sample that centres are taken from; a level has no more centres than that.
 SAMPLE = 2048
-CENTRES = 256
 BLOCK = 4096
 SEED = 5
 _ROWS = 512
@@ -46,35 +45,42 @@ class Tree:
     def __init__(self, sample: np.ndarray):
         self.levels: list[np.ndarray] = [sample[:1]]
         self.parent: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
-        radius = 2.0
-        while radius > 0.05 and len(sample):
+        radius, at = 2.0, np.zeros(len(sample), dtype=np.int64)
+        while radius > 0.05 and len(self.levels[-1]) < len(sample):
             radius /= 2
             centres, parents = [], []
             for up in range(len(self.levels[-1])):
                 # greedy net of the sample vectors under one node: its own centre first, then whatever is left uncovered
-                under = sample[self._assign(sample, len(self.levels) - 1) == up] if len(self.levels) > 1 else sample
-                todo = np.concatenate([self.levels[-1][up : up + 1], under])
-                while len(todo) and len(centres) <= CENTRES:
-                    centres.append(todo[0])
+                todo = np.concatenate([self.levels[-1][up : up + 1], sample[at == up]])
+                while len(todo):
+                    centres.append(todo[0].copy())
                     parents.append(up)
                     todo = todo[((todo - todo[0]) ** 2).sum(1) > radius * radius]
-            if len(centres) > CENTRES:
-                break
             self.levels.append(np.stack(centres))
             self.parent.append(np.array(parents))
+            at = self._descend(sample, at, len(self.levels) - 1)
+
+    def _descend(self, x: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        """Node of each vector at a level: the nearest centre under `at`, its node above."""
+        # children of a node stand together, its own centre first
+        first = np.searchsorted(self.parent[level], np.arange(len(self.levels[level - 1]) + 1))
+        out = first[at]
+        by = np.argsort(at, kind="stable")
+        ups, starts = np.unique(at[by], return_index=True)
+        for up, rows in zip(ups.tolist(), np.split(by, starts[1:])):
+            if first[up + 1] - first[up] > 1:
+                below = self.levels[level][first[up] : first[up + 1]]
+                for lo in range(0, len(rows), _ROWS):
+                    part = rows[lo : lo + _ROWS]
+                    out[part] = first[up] + (x[part] @ below.T).argmax(1)
+        return out
 
-    def _assign(self, x: np.ndarray, level: int) -> np.ndarray:
-        """Node of each vector at a level: the nearest centre under its node above."""
+    def leaves(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int64)
-        for l in range(1, level + 1):
-            near = x @ self.levels[l].T
-            near[self.parent[l][None, :] != at[:, None]] = -np.inf
-            at = near.argmax(1)
+        for level in range(1, len(self.levels)):
+            at = self._descend(x, at, level)
         return at
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        return self._assign(x, len(self.levels) - 1)
-
     def ancestors(self) -> list[np.ndarray]:
         """Of each leaf, its node at every level."""
         out = [np.arange(len(self.levels[-1]))]
@@ -83,15 +89,22 @@ class Tree:
         return out[::-1]
 
 
-def surviving(tree: Tree, radius: list[np.ndarray], reach: float) -> list[tuple[int, int]]:
-    """Pairs of leaves (i <= j) that may hold a pair within `reach`, by dual traversal from the root."""
-    pairs = [(0, 0)]
+def may_meet(tree: Tree, radius: list[np.ndarray], reach: float) -> np.ndarray:
+    """Matrix of the leaves that may hold a pair within `reach` of each other, by dual traversal from the root."""
+    meet = np.ones((1, 1), dtype=bool)
     for l in range(1, len(tree.levels)):
-        below: dict[int, np.ndarray] = {p: np.flatnonzero(tree.parent[l] == p) for p in range(len(tree.levels[l - 1]))}
-        d = np.sqrt(np.maximum(2 - 2 * tree.levels[l] @ tree.levels[l].T, 0))
-        ok = (d - radius[l][:, None] - radius[l][None, :] <= reach + 1e-9) & (radius[l] >= 0)[:, None] & (radius[l] >= 0)[None, :]
-        pairs = sorted({(min(a, b), max(a, b)) for p, q in pairs for a in below[p].tolist() for b in below[q].tolist() if ok[a, b]})
-    return pairs
+        up, far, level = tree.parent[l], radius[l], tree.levels[l]
+        ok = meet[np.ix_(up, up)] & (far >= 0)[:, None] & (far >= 0)[None, :]
+        for lo in range(0, len(level), _ROWS):
+            d = np.sqrt(np.maximum(2 - 2 * level[lo : lo + _ROWS] @ level.T, 0))
+            ok[lo : lo + _ROWS] &= d - far[lo : lo + _ROWS, None] - far[None, :] <= reach + 1e-9
+        meet = ok
+    return meet | meet.T
+
+
+def surviving(tree: Tree, radius: list[np.ndarray], reach: float) -> list[tuple[int, int]]:
+    """Pairs of leaves (i <= j) of `may_meet`."""
+    return [(int(a), int(b)) for a, b in np.argwhere(np.triu(may_meet(tree, radius, reach)))]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -117,7 +130,7 @@ def compare(x: np.ndarray, y: np.ndarray | None, least: float, allowed, leaf_x:
         cols = np.flatnonzero(allowed(leaf, leaf_y))
         if not len(cols):
             continue
-        z = other[cols]
+        z = other if len(cols) == len(other) else other[cols]
         for lo in range(0, len(rows), _ROWS):
             part = rows[lo : lo + _ROWS]
             i, j = np.nonzero(x[part] @ z.T >= least)
@@ -157,10 +170,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         r = np.full(len(tree.levels[l]), -1.0)
         np.maximum.at(r, anc[stats["leaf"].to_numpy()], stats[f"r{l}"].to_numpy())
         radius.append(r)
-    pairs = surviving(tree, radius, reach)
-    ok = np.zeros((len(tree.levels[-1]),) * 2, dtype=bool)
-    for a, b in pairs:
-        ok[a, b] = ok[b, a] = True
+    ok = may_meet(tree, radius, reach)
     # leaves in order of place fill blocks of bounded size; a large leaf is dealt over several by hash
     size = np.zeros(len(ok), dtype=np.int64)
     size[stats["leaf"].to_numpy()] = stats["n"].to_numpy()
@@ -178,7 +188,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             members[block + k].add(int(leaf))
         block += int(spread[leaf]) - 1
         room = room - n if spread[leaf] == 1 else 0
-    meets = [(i, j) for i in range(len(members)) for j in range(i, len(members)) if any(ok[a, b] for a in members[i] for b in members[j])]
+    meets = [(i, j) for i in range(len(members)) for j in range(i, len(members)) if ok[np.ix_(sorted(members[i]), sorted(members[j]))].any()]
     table = vectors.sparkSession.createDataFrame(
         [(i, f"{i}-{j}", 0) for i, j in meets] + [(j, f"{i}-{j}", 1) for i, j in meets if i != j], "block long, pair string, side int"
     )

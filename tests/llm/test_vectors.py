@@ -112,3 +112,21 @@ def test_pruning_is_safe():
     assert {(min(p, q), max(p, q)) for p, q in zip(leaf[a], leaf[b])} <= pairs
     used = len(np.unique(leaf))
     assert len(pairs) < used * (used + 1) / 2
+
+
+def test_levels_grow_with_the_sample():
+    rng = np.random.default_rng(17)
+    centre = covertree.unit(rng.normal(size=(400, 64)))
+    x = covertree.unit(np.repeat(centre, 3, axis=0) + 0.005 * rng.normal(size=(1200, 64)))
+    tree = covertree.Tree(x)
+    assert len(tree.levels) > 1 and len(tree.levels[-1]) >= 400
+    leaf = tree.leaves(x)
+    radius = []
+    for l, anc in enumerate(tree.ancestors()):
+        r = np.full(len(tree.levels[l]), -1.0)
+        np.maximum.at(r, anc[leaf], np.sqrt(((x - tree.levels[l][anc[leaf]]) ** 2).sum(1)))
+        radius.append(r)
+    ok = covertree.may_meet(tree, radius, 0.2)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert ok[leaf[a], leaf[b]].all()
+    assert ok.sum() < 0.1 * len(np.unique(leaf)) ** 2
