@@ -165,18 +165,30 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, margin double")
 
 
-#: A text of this many trigrams that resembles no language this much is rejected; a language that was not learned resembles others more.
-REJECT_GRAMS, REJECT_SCORE = 200, 0.05
+#: A text of this many trigrams is rejected if it resembles no learned language this much (far above the encoding's noise,
+#: 0.044 of a cosine) and its letters come about equally often.  Languages that were not learned score no better than random
+#: letters, but in none are the letters even: two letters of a text agree by chance in 0.05 or more, of random ones in 0.039.
+REJECT_GRAMS, REJECT_SCORE, EVEN_LETTERS = 200, 0.25, 0.045
+
+
+def agreement(classes: np.ndarray) -> float:
+    """Chance that two letters of a text are of one class (1 with fewer than two letters)."""
+    n = np.bincount(classes, minlength=CLASSES)[1:].astype(np.float64)
+    return float((n * (n - 1)).sum() / (n.sum() * (n.sum() - 1))) if n.sum() > 1 else 1.0
 
 
 def keep(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of `docs`, all columns, that are in some language: not `und`, and not long yet like none of them."""
+    """The rows of `docs`, all columns, that are in some language: not `und`, and not long, like none of them, and of even letters."""
     predictor = Predictor(prototypes)
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
         parts = [predictor(text.iloc[lo : lo + 256].tolist()) for lo in range(0, len(text), 256)]
         out = pd.concat(parts) if parts else predictor([])
-        return pd.Series(((out["lang_pred"] != "und") & ((out["n_grams"] < REJECT_GRAMS) | (out["score"] >= REJECT_SCORE))).to_numpy(dtype=bool))
+        ok = (out["lang_pred"] != "und").to_numpy(dtype=bool)
+        for i in np.flatnonzero(ok & (out["n_grams"] >= REJECT_GRAMS).to_numpy() & (out["score"] < REJECT_SCORE).to_numpy()):
+            t = text.iloc[i]
+            ok[i] = agreement(np.concatenate([predictor.enc.classes(t[lo : lo + _PIECE]) for lo in range(0, len(t), _PIECE)])) >= EVEN_LETTERS
+        return pd.Series(ok)
 
     return docs.where(known(F.col("text")))

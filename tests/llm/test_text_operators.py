@@ -63,6 +63,26 @@ def test_nothing_learned_is_und(spark, frame):
     assert (got["lang_pred"], got["score"]) == ("und", 0.0)
 
 
+UNLEARNED = {
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa ",
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä ",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства ",
+    "el": "ολοι οι ανθρωποι γεννιουνται ελευθεροι και ισοι στην αξιοπρεπεια και τα δικαιωματα ειναι προικισμενοι με λογικη και συνειδηση και οφειλουν να συμπεριφερονται μεταξυ τους ",
+    "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待人人有资格享有本宣言所载的一切权利和自由不分种族肤色性别语言宗教政治或其他见解",
+}
+
+
+def test_gibberish_goes_and_languages_not_learned_stay(spark):
+    rng = random.Random(8)
+    learned = [(i, sentence(rng, WORDS[lang]), lang) for i, lang in enumerate(list(WORDS) * 40)]
+    proto = langid.fit(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (80, 300, 1500) for _ in range(10)]
+    base64 = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)) for n in (500, 2000, 9000) for _ in range(10)]
+    rows = [(i, t) for i, t in enumerate(UNLEARNED[k] * 3 for k in UNLEARNED)] + [(100 + i, t) for i, t in enumerate(letters + base64)]
+    kept = {r["doc_id"] for r in langid.keep(spark.createDataFrame(rows, "doc_id long, text string"), proto).collect()}
+    assert kept == set(range(len(UNLEARNED)))
+
+
 def test_a_bundle_is_the_sum_of_bound_trigrams():
     enc = langid.Encoder()
     v, n = enc.bundle(["abc", None])
