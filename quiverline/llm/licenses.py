@@ -84,6 +84,27 @@ FAMILIES = (
     ("proprietary", r"proprietary", "proprietary"),
 )
 
+#: Names that leave the version or clause count open; their rules come after all others, so a name with a version is taken first.
+UNVERSIONED = (
+    ("apache", r"apache(?: software)?", "apache"),
+    ("bsd", r"bsd", "bsd"),
+    ("gpl", r"(?:gnu )?(?:gpl|general public license)", "gpl|general public"),
+    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)", "lgpl|lesser|library general"),
+    ("agpl", r"(?:gnu )?(?:agpl|affero general public license)", "agpl|affero"),
+    ("mpl", r"(?:mpl|mozilla public license)", "mpl|mozilla"),
+    ("epl", r"(?:epl|eclipse public license)", "epl|eclipse"),
+    ("eupl", r"(?:eupl|european union public licence)", "eupl|european union"),
+    ("cddl", r"(?:cddl|common development and distribution license)", "cddl|common development"),
+    ("cpl", r"(?:cpl|common public license)", "cpl|common public"),
+    ("boost", r"(?:bsl|boost software license)", "bsl|boost"),
+    ("artistic", r"(?:perl )?artistic license", "artistic"),
+    ("afl", r"(?:afl|academic free license)", "afl|academic free"),
+    ("osl", r"(?:osl|open software license)", "osl|open software"),
+    ("php", r"php", "php"),
+)
+#: Their confidence, as a share of that of the same statement with a version; and that of a name that says licence itself.
+UNVERSIONED_SHARE, NAME_ALONE = 0.5, 0.3
+
 #: Ways a licence is stated around its name, from the surest: pattern, confidence.
 STATEMENTS = (
     (r"spdx license identifier {name}", 1.0),
@@ -124,6 +145,13 @@ def rules() -> list[tuple[int, str, re.Pattern, float, str]]:
     out = [(conf, label, pat, keys) for label, pat, keys, conf in NOTICES]
     out += [(conf, label, pat.format(name=name), keys) for pat, conf in STATEMENTS for label, name, keys in FAMILIES]
     out.sort(key=lambda r: -r[0])
+    # lesser, library and affero licences hold the general one's name
+    apart = "(?<!lesser )(?<!library )(?<!affero )"
+    open_ended = {label for label, *_ in UNVERSIONED}
+    out += [(NAME_ALONE, label, rf"(?:the )?{apart}(?=[a-z ]*?licen[cs]e){name}", keys) for label, name, keys in FAMILIES if label.rsplit("-", 1)[0] in open_ended]
+    late = [(conf * UNVERSIONED_SHARE, label, pat.format(name=apart + name), keys) for pat, conf in STATEMENTS for label, name, keys in UNVERSIONED]
+    late += [(NAME_ALONE, label, rf"{apart}{name}(?: licen[cs]e)?(?<=licen[cs]e)", keys) for label, name, keys in UNVERSIONED]
+    out += sorted(late, key=lambda r: -r[0])
     return [(i, label, re.compile(rb"(?:(?<= )|^)" + pat.encode() + rb"(?= |$)"), conf, keys) for i, (conf, label, pat, keys) in enumerate(out)]
 
 

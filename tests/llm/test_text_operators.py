@@ -124,6 +124,18 @@ def test_rules_detect(text, label):
     assert label in got[5].split(",") and got[1] == 0 and 0 < got[6] <= 1
 
 
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("licensed under the BSD license", "bsd"), ("the GNU General Public License", "gpl"), ("Apache License", "apache"), ("GNU Lesser General Public License", "lgpl"), ("released under the AGPL", "agpl"),
+        ("Mozilla Public License", "mpl"), ("licensed under the Apache License, Version 2.0", "apache-2"), ("licensed under the GNU General Public License v3", "gpl-3"), ("the BSD 3-Clause License", "bsd-3"),
+        ("GNU General Public License version 2", "gpl-2"), ("Affero General Public License version 3", "agpl-3"), ("the Apache License 2.0", "apache-2"),
+    ],
+)
+def test_names_without_a_version(text, label):
+    assert licenses.scan_text(f"Some words. {text}. More words.")[5] == label
+
+
 def test_rules_are_gated_and_contained_detections_go():
     assert len(licenses.rules()) > 200
     assert licenses.scan_text("the apache tribe of zero clauses and the mozilla")[5] == ""
