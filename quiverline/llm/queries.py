@@ -33,7 +33,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_table(spark, sf_dir, "documents"), keep_ids=False)
+    return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quiverline.llm import langid, linededup, packing, quality, queries, simhash
+from quiverline.llm import langid, linededup, packing, pieces, quality, queries, simhash
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
@@ -33,6 +33,14 @@ def test_held_out_languages(spark):
     assert held.where("lang = lang_pred").count() / held.count() >= 0.95
 
 
+def test_ids_decode_to_the_texts(spark):
+    got = queries.op4_sentencepiece(spark, SF).cache()
+    assert got.where("round_trip").count() > 0 and got.where("size(ids) <> n_ids").count() == 0
+    texts = {r["doc_id"]: (r["text"] or "").replace(pieces.MARK, " ") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in pieces.decode(got.where("round_trip").select("doc_id", "ids")).collect():
+        assert r["text"] == texts[r["doc_id"]]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
