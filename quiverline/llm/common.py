@@ -57,6 +57,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` made, once nothing reads them any more."""
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            drop_path(t.sparkSession, folder)
+
+
 class Scratch:
     """Durable tables of one iteration, dropped as soon as the next one is written."""
 

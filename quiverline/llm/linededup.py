@@ -2,17 +2,19 @@
 
 A line is the set of its lower-cased words.  Its tokens are ordered from rare to frequent; two lines whose sets have a Jaccard
 similarity of at least 4/5 share a token within their prefixes, which rules of length and place make short, must be of
-similar length, and can differ in few bits of a bitmap of their tokens.  Pairs that pass these filters are verified on the
-whole sets.  A line goes if any earlier line (by doc_id, then place) has the same set or a similar one.
+similar length, must have room for enough shared tokens behind the first one, and can differ in few bits of their parity
+words.  Pairs that pass these filters are verified on the whole sets.  A line goes if any earlier line (by doc_id, then
+place) has the same set or a similar one.
 
 Rarity is the number of times that the token's bucket (of 65,536) occurs in the different lines of all documents: a table of
-fixed size whatever the vocabulary, and a total order with the token's hash behind it, so the join is exact.  Lines of
-equal text are one throughout.  In a large group of variants every line would meet every other, so lines first meet only the
-earliest line that shares one of their rarest tokens; only lines that this leaves alone go on to meet all earlier ones.
+fixed size whatever the vocabulary, then the token's length, and a total order with the token's hash behind it, so the join is
+exact.  Lines of equal text are one throughout.  In a large group of variants every line would meet every other, so lines first
+meet the earliest line of each of their rare tokens; only lines that this leaves alone go on to meet all earlier ones.
 
 Defined results: a null or empty text stays as it is; blank lines stay and match nothing; rows with a null doc_id stay
 whole and match nothing; rows that repeat a doc_id count as the same document, and keep what it keeps; a document
-whose lines all go has an empty text and stays; other columns are ignored.
+whose lines all go has an empty text and stays; an empty table gives an empty result; lines and texts of any length are
+taken whole; other columns are ignored, or kept as they are by `rewrite`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,16 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_path, materialise, new_path
+from .common import drop_tables, materialise
 
 BUCKETS = 1 << 16
-#: Rarest tokens of a line by which it meets the earliest line of each.
-PIVOT_TOKENS = 3
-#: Words from which on a line is long.
-LONG = 64
 #: Turns that the tokens are joined in.
 TURNS = 4
-_HASH_BITS = 50
+#: Words from which on a line has four parity words of 64 bits instead of two.
+LONG = 160
+#: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
+#: Bits of a token's identity that are its length's; of its place in the order, its rarity's class.
+_LENGTH_BITS, _CLASS_BITS = 5, 6
+_WORDS = ["w0", "w1", "w2", "w3"]
 
 
 def _tokens(line: Column) -> Column:
@@ -43,174 +47,220 @@ def _tokens(line: Column) -> Column:
 
 
 def _set(line: Column) -> Column:
-    """Different token hashes of a line."""
-    return F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t)))
+    """The different tokens of a line: longs of 63 bits, a longer word's below a shorter one's, then by hash."""
+    most = (1 << _LENGTH_BITS) - 1
 
+    def token(t: Column) -> Column:
+        short = F.lit(most) - F.least(F.octet_length(t), F.lit(most))
+        return F.shiftleft(short.cast("long"), 63 - _LENGTH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 1 + _LENGTH_BITS))
 
-def _document_keys(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(docs with `_key`, bits for the line's place): `_key << bits | place` is a long that orders lines by doc_id, then place.
+    return F.array_distinct(F.transform(_tokens(line), token))
 
-    The id itself where it fits; else its rank among the ids.
+
+def _bucket(token: Column) -> Column:
+    """0 to 65,535, from the highest bits of the token's hash."""
+    return F.shiftrightunsigned(token, 63 - _LENGTH_BITS - 16).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+class _Places:
+    """Longs that order lines by doc_id, then place: `key << bits | place`, the key being the id where it fits, else its rank."""
+
+    def __init__(self, docs: DataFrame):
+        most, low, high = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))), F.min("doc_id"), F.max("doc_id")).first()
+        self.bits = max(1, int((most or 0) + 1).bit_length())
+        self.ranked = None
+        if low is None or (low >= 0 and int(high).bit_length() + self.bits <= 62):
+            return
+        ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+        placed = materialise(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("row", F.monotonically_increasing_id()), "line-ids")
+        part, row = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+        # a row for each partition of the sort
+        first = placed.groupBy(part.alias("part")).count()
+        first = first.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+        self.ranked = placed.withColumn("part", part).join(F.broadcast(first), "part").select("doc_id", (F.col("before") + row).alias("key"))
+
+    def keyed(self, docs: DataFrame) -> DataFrame:
+        """`docs`, which has a long `doc_id`, with `key`."""
+        return docs.withColumn("key", F.col("doc_id")) if self.ranked is None else docs.join(self.ranked, "doc_id", "left")
+
+
+def line_table(docs: DataFrame, places: _Places) -> tuple[DataFrame, DataFrame]:
+    """(lines of all documents, different lines): (key, place, h1, h2, seq) and (h1, h2, seq, r), the first place and the token set.
+
+    Lines are the same here if their lower-cased text is; the hashes have 128 bits together.
     """
-    most, low, high = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))), F.min("doc_id"), F.max("doc_id")).first()
-    bits = max(1, int((most or 0) + 1).bit_length())
-    if low is None or (low >= 0 and int(high).bit_length() + bits <= 62):
-        return docs.withColumn("_key", F.col("doc_id").cast("long")), bits
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    placed = materialise(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("_row", F.monotonically_increasing_id()), "line-ids")
-    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    # a row for each partition of the sort
-    first = placed.groupBy(part.alias("_part")).count()
-    first = first.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    ranked = placed.withColumn("_part", part).join(F.broadcast(first), "_part").select("doc_id", (F.col("_before") + row).alias("_key"))
-    return docs.join(ranked, "doc_id", "left"), bits
+    split = places.keyed(docs).where("key IS NOT NULL AND text IS NOT NULL").select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    low = F.lower("line")
+    hashed = split.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select(
+        "key", "place", "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("key", places.bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
+    )
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "line")).alias("f")).select("h1", "h2", "f.seq", _set(F.col("f.line")).alias("r"))
+    return hashed.select("key", "place", "h1", "h2", "seq"), first
+
+
+def rarity(lines: DataFrame) -> list[int]:
+    """For each bucket: 0, or from four times the mean on, the logarithm of how often its tokens occur in the different lines."""
+    counts = lines.select(F.explode("r").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count().collect()
+    # up to a few times the mean a bucket's count says nothing of its tokens
+    usual = 4 * max(1.0, sum(r["count"] for r in counts) / BUCKETS)
+    out = [0] * BUCKETS
+    for r in counts:
+        out[r["b"]] = int(r["count"] / usual).bit_length()
+    return out
 
 
 def _heads(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """(seq, n, bits, bits0, bits1, head): the prefix of each line's set, rarest first, and the bits that its tokens set: 64,
-    or of long lines, 128.
+    """(seq, n, w0..w3, head): the prefix of each line's set, rarest first, and its parity words.
 
-    The order is by class of rarity, then longer words (they are rarer), then the hash.  Sets of fewer than four words are similar
-    to none but themselves, so their whole set is their one token.
+    A token sets or clears one bit of the words, so each bit in which two lines' words differ is a token that only one has.  Long
+    lines have four words, others two.  Sets of fewer than four words are similar to none but themselves, so their whole set is
+    their one token.
     """
     # a constant that Spark folds into one array
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
     def ranked(t: Column) -> Column:
-        h = F.xxhash64(t)
-        kind = F.get(table, F.shiftrightunsigned(h, 48).cast("int")) * F.lit(64).cast("smallint") - F.least(F.length(t), F.lit(63)) + 64
-        return F.shiftleft(kind.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        kind = F.shiftleft(F.get(table, _bucket(t)).cast("long"), 63 - _CLASS_BITS)
+        return kind.bitwiseOR(F.shiftrightunsigned(t, _CLASS_BITS))
 
-    ordered = lines.select("seq", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), ranked))).alias("r"))
     n = F.size("r")
-    head = F.when(n < 4, F.array(F.xxhash64("r"))).otherwise(F.slice("r", F.lit(1), (n / 5).cast("int") + 1))
-    one = F.lit(1).cast("long")
-    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-    zero = F.lit(0).cast("long")
-    # lines of 5/4 of LONG and more meet long lines only
-    bits = F.when(n < LONG * 5 // 4, F.aggregate("r", zero, lambda a, t: a.bitwiseOR(bit(t))))
+    whole = F.array(F.xxhash64(F.sort_array("r")).bitwiseOR(F.lit(-(1 << 63))))
+    head = F.when(n < 4, whole).otherwise(F.slice(F.sort_array(F.transform("r", ranked)), F.lit(1), (n / 5).cast("int") + 1))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(w: int, of: int) -> Column:
+        """Parity of the tokens that fall to one of `of` words."""
+        mask = F.lit((of - 1) * 64).cast("long")
+        mine = lambda t: F.when(t.bitwiseAND(mask) == 64 * w, F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int"))).otherwise(zero)
+        return F.aggregate("r", zero, lambda a, t: a.bitwiseXOR(mine(t)))
+
+    words = [F.when(n < LONG, word(w, 2)).otherwise(word(w, 4)) if w < 2 else F.when(n >= LONG, word(w, 4)) for w in range(4)]
+    return lines.select("seq", n.alias("n"), *(x.alias(name) for x, name in zip(words, _WORDS)), head.alias("head"))
+
+
+def _apart(words: list[tuple[Column, Column]]) -> Column:
+    """Bits in which two lines' words differ: a lower bound of the tokens that only one of them has."""
+    return reduce(Column.__add__, (F.bit_count(a.bitwiseXOR(b)) for a, b in words))
 
-    def half(w: int) -> Column:
-        """The bits of the tokens that fall to one of two words."""
-        mine = lambda t: F.when(t.bitwiseAND(F.lit(64)) == 64 * w, bit(t)).otherwise(zero)
-        return F.when(n >= LONG, F.aggregate("r", zero, lambda a, t: a.bitwiseOR(mine(t)))).alias(f"bits{w}")
 
-    more = [half(w) for w in range(2)]
-    return ordered.select("seq", n.alias("n"), bits.alias("bits"), *more, head.alias("head"))
+def _folded(name: str = "") -> list[Column]:
+    """Two words for every line: four words fold into the two that a shorter line would have."""
+    return [F.col(f"{name}w{w}").bitwiseXOR(F.coalesce(f"{name}w{w + 2}", F.lit(0).cast("long"))).alias(f"w{w}") for w in range(2)]
+
+
+def _turn(rows: DataFrame, turn: int) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn)
+
+
+def _short(n: str) -> Column:
+    """Tokens of the shorter line's prefix."""
+    return F.floor(F.col(n) / 9).cast("int") + 1
+
+
+def _to_pivots(heads: DataFrame, turn: int) -> DataFrame:
+    """(x, y): lines y and the earliest line x of each token of their short prefix, if length and parity allow them to be similar."""
+    rare = _turn(heads.select("seq", "n", *_folded(), F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn)
+    earliest = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.min_by("w0", "seq").alias("xw0"), F.min_by("w1", "seq").alias("xw1"), F.count("*").alias("c"))
+    alike = _apart([(F.col("w0"), F.col("xw0")), (F.col("w1"), F.col("xw1"))]) * 9 <= F.col("n") + F.col("xn")
+    met = rare.join(earliest.where("c > 1").drop("c"), "token").where((F.col("seq") > F.col("x")) & (F.col("xn") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("xn") * 4) & alike)
+    return met.select("x", F.col("seq").alias("y")).distinct()
 
 
 def _pairs(heads: DataFrame, turn: int) -> DataFrame:
-    """(x, y), x before y and y `alone`, from `heads(seq, n, bits, bits0, bits1, head, alone)`, by the tokens of one turn.
+    """(x, y), x before y and y `alone`, from `heads(seq, n, w0..w3, head, alone)`, by the tokens of one turn.
 
     A shorter line s and a longer one l of at most 5/4 of its length need an overlap of 4/9 of both lengths, which is at least 8/9
-    of s and 4/5 of l; so a token of the first |s| / 9 + 1 of s is among the first |l| / 5 + 1 of l.  In the join: lengths,
-    and few bits apart, as each bit that only one line's tokens set is a token apart.
+    of s and 4/5 of l; so a token of the first |s| / 9 + 1 of s is among the first |l| / 5 + 1 of l.  In the join: lengths;
+    places, as the overlap is at most the rest of either line behind the first token that they share; and parity.
     """
-    sets = heads.where("n >= 4")
     kind = F.shiftleft("n", 1).bitwiseOR(F.col("alone").cast("int"))
 
     def side(name: str, tokens: Column) -> DataFrame:
-        bits = [F.col(f"bits{w}").alias(f"{name}b{w}") for w in ("", 0, 1)]
-        return sets.select(F.col("seq").alias(name), kind.alias(f"{name}k"), *bits, F.explode(tokens).alias("token")).where(F.pmod("token", F.lit(TURNS)) == turn)
+        words = [F.col(w).alias(f"{name}{w}") for w in _WORDS]
+        return _turn(heads.select(F.col("seq").alias(name), kind.alias(f"{name}k"), *words, F.posexplode(tokens).alias(f"{name}p", "token")), turn)
 
-    s, l = side("s", F.slice("head", F.lit(1), F.floor(F.col("n") / 9).cast("int") + 1)), side("l", F.col("head"))
+    s, l = side("s", F.slice("head", F.lit(1), _short("n"))), side("l", F.col("head"))
     sn, ln = F.shiftright("sk", 1), F.shiftright("lk", 1)
     first = (sn < ln) | ((sn == ln) & (F.col("s") < F.col("l")))
     alone = F.when(F.col("s") < F.col("l"), F.col("lk")).otherwise(F.col("sk")).bitwiseAND(F.lit(1)) == 1
-    apart = [F.bit_count(F.col(f"sb{w}").bitwiseXOR(F.col(f"lb{w}"))) for w in ("", 0, 1)]
-    # bits that a line lacks are null, and so no objection
-    near = [F.coalesce(d * 9 <= sn + ln, F.lit(True)) for d in (apart[0], apart[1] + apart[2])]
-    close = (sn * 5 >= ln * 4) & near[0] & near[1]
-    return s.join(l, "token").where(first & alone & close).select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """`y` of the pairs (x, y) whose whole sets have a Jaccard similarity of at least 4/5."""
-    whole = lines.select("seq", "line")
-    both = (
-        pairs.join(whole.select(F.col("seq").alias("x"), F.col("line").alias("x_line")), "x")
-        .join(whole.select(F.col("seq").alias("y"), F.col("line").alias("y_line")), "y")
-        .select("y", _set(F.col("x_line")).alias("a"), _set(F.col("y_line")).alias("b"))
-    )
-    return both.where(F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4).select("y").distinct()
+    room = F.least(sn - F.col("sp"), ln - F.col("lp")) * 9 >= (sn + ln) * 4
+    # null, and so replaced, where a line has two words only
+    four = _apart([(F.col(f"s{w}"), F.col(f"l{w}")) for w in _WORDS])
+    alike = F.coalesce(four, _apart(list(zip(_folded("s"), _folded("l"))))) * 9 <= sn + ln
+    met = s.join(l, "token").where((sn * 5 >= ln * 4) & first & room & alone & alike)
+    return met.select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
 
 
-def line_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines of all documents, different lines with their first place): lines are (_key, place, h1, h2, seq).
+def _few(ids: DataFrame) -> DataFrame:
+    """`ids`, a table of one long, to be broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    Lines are the same here if their lower-cased text is; the hashes have 128 bits together.
-    """
-    keyed, bits = _document_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    split = keyed.where("_key IS NOT NULL AND text IS NOT NULL").select("_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    low = F.lower("line")
-    hashed = split.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select(
-        "_key", "place", "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("_key", bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
-    )
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "line")).alias("f")).select("h1", "h2", "f.seq", "f.line")
-    return hashed.select("_key", "place", "h1", "h2", "seq"), first
 
+def _verified(pairs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(`y` of the pairs (x, y) whose whole sets have a Jaccard similarity of at least 4/5, tables it reads)."""
+    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("seq")).distinct(), "line-ids")
+    sets = materialise(lines.select("seq", "r").join(_few(ids), "seq", "left_semi"), "line-sets")
+    both = pairs.join(sets.select(F.col("seq").alias("x"), F.col("r").alias("a")), "x").join(sets.select(F.col("seq").alias("y"), F.col("r").alias("b")), "y")
+    near = both.where(F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4).select("y").distinct()
+    return near, [ids, sets]
 
-def rarity(lines: DataFrame) -> list[int]:
-    """For each bucket (the hash's highest bits): 0, or from four times the mean on, the logarithm of how often its
-    tokens occur in the different lines."""
-    words = lines.select(F.explode(_tokens(F.col("line"))).alias("t"))
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("t"), 48).alias("b")).count().collect()
-    # up to a few times the mean a bucket's count says nothing of its tokens
-    usual = 4 * max(1.0, sum(r["count"] for r in counts) / BUCKETS)
-    out = [0] * BUCKETS
-    for r in counts:
-        out[r["b"]] = int(r["count"] / usual).bit_length()
-    return out
+
+def _in_turns(one, heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Verified `y` of the pairs of all turns, of which the rows of one alone are on disk at a time."""
+    turns = [materialise(one(heads, t), "line-pairs") for t in range(TURNS)]
+    near, used = _verified(reduce(DataFrame.unionByName, turns).distinct(), lines)
+    near = materialise(near, "line-near")
+    drop_tables(*turns, *used)
+    return near
 
 
 def similar_lines(lines: DataFrame) -> DataFrame:
-    """`seq` of the lines that an earlier line of `lines(seq, line)` is similar to or equals as a set."""
-    spark = lines.sparkSession
-    path = new_path(spark, "line-heads")
-    _heads(lines, rarity(lines)).write.option("compression", "lz4").parquet(path)
-    heads = spark.read.parquet(path)
-    # the earliest line of each rare token, met by all that share it
-    rare = heads.select("seq", "n", F.explode(F.slice("head", 1, PIVOT_TOKENS)).alias("token"))
-    pivot = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.count("*").alias("c")).where("c > 1").drop("c")
-    to_pivot = materialise(rare.join(pivot, "token").where("seq > x AND xn * 5 >= n * 4 AND n * 5 >= xn * 4").select("x", F.col("seq").alias("y")).distinct(), "line-pivots")
-    near = materialise(_verified(to_pivot, lines), "line-near")
-    marked = heads.join(near.select(F.col("y").alias("seq"), F.lit(False).alias("alone")), "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
-    marked = materialise(marked, "line-marked")
-    # turn by turn, so that the rows of one turn alone are on disk at a time
-    turns = [materialise(_pairs(marked, t), "line-pairs") for t in range(TURNS)]
-    pairs = reduce(DataFrame.unionByName, turns).distinct()
-    rest = materialise(_verified(pairs, lines), "line-rest")
-    drop_path(spark, path)
-    return near.unionByName(rest)
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, with `_gone`: the places of the lines that go, or null."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every, first = line_table(narrow)
+    """`y`: the `seq` of the lines that an earlier line of `lines(seq, r)` is similar to or equals as a set."""
+    heads = materialise(_heads(lines, rarity(lines)), "line-heads")
+    near = _in_turns(_to_pivots, heads, lines)
+    known = near.select(F.col("y").alias("seq"), F.lit(False).alias("alone"))
+    marked = materialise(heads.where("n >= 4").join(_few(known), "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True))), "line-marked")
+    drop_tables(heads)
+    out = materialise(near.unionByName(_in_turns(_pairs, marked, lines)), "line-similar")
+    drop_tables(marked, near)
+    return out
+
+
+def _removed(docs: DataFrame) -> tuple[_Places, DataFrame]:
+    """(places, (key, gone)): the places of the lines that go, for documents that lose any, of `docs(doc_id, text)`."""
+    places = _Places(docs)
+    every, first = line_table(docs, places)
     first = materialise(first, "line-table")
-    near = similar_lines(first.select("seq", "line"))
-    verdict = first.join(near.withColumnRenamed("y", "seq").withColumn("near", F.lit(True)), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    near = similar_lines(first.select("seq", "r"))
+    verdict = first.join(near.select(F.col("y").alias("seq"), F.lit(True).alias("near")), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = every.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("seq") > F.col("first")))
-    removed = materialise(gone.groupBy("_key").agg(F.collect_set("place").alias("_gone")), "line-removed")
-    return _document_keys(docs)[0].join(removed, "_key", "left").drop("_key")
+    removed = materialise(gone.groupBy("key").agg(F.collect_set("place").alias("gone")), "line-removed")
+    drop_tables(first, near)
+    return places, removed
 
 
 def _without() -> Column:
-    kept = F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains(F.col("_gone"), i))
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains(F.col("gone"), i))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed), one row per row of `docs`, texts without the lines that go."""
-    return _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    places, removed = _removed(docs)
+    return places.keyed(docs).join(removed, "key", "left").select(
         "doc_id",
         _without().alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with `text` rewritten and `n_chars` counted anew."""
-    return _marked(docs).withColumn("text", _without()).withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).drop("_gone")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    places, removed = _removed(narrow)
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = places.keyed(whole).join(removed, "key", "left").select("row", _without().alias("text"), F.col("gone").isNull().alias("same"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
