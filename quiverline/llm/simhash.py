@@ -4,9 +4,10 @@ The 64 bits are cut into 5 segments in a ring.  If two fingerprints differ in at
 on every chain of l consecutive segments differs in at most floor(4 l / 5) bits: 0 in the first, at most 1 in two,
 2 in three, 3 in four.  Candidates must share segment i and meet the next within one bit, which an equi-join finds:
 one side probes with its own two segments, the other is posted under every one-bit variant of the second.  Longer
-chains prune the candidates inside the join, then the whole distance is checked.  Equal fingerprints are one node.
+chains prune the candidates inside the join, and what they leave is checked by the whole distance.  Equal fingerprints are one node.
 
-Defined results: null and empty texts, and texts of white space only, have fingerprint 0 and link like any other;
+Defined results: null and empty texts, and texts of white space only, have fingerprint 0 and link like any other; a very long
+text is read whole, its shingles hashed a chunk at a time;
 repeated rows repeat in the result; rows with a null doc_id get a fingerprint but link nothing and have a null
 component; an empty table gives an empty result; other columns are ignored.
 """
@@ -85,20 +86,21 @@ def links(nodes: DataFrame) -> DataFrame:
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     diff = F.col("fp").bitwiseXOR(F.col("other"))
 
-    def ring(i: int) -> F.Column:
-        """Chains of three and four segments from segment i keep to their budgets."""
-        three, four = 0, 0
-        for k in range(4):
-            mask = masks[(i + k) % m]
-            three, four = three | (mask if k < 3 else 0), four | mask
-        return (F.bit_count(diff.bitwiseAND(F.lit(signed(three)))) <= 2) & (F.bit_count(diff.bitwiseAND(F.lit(signed(four)))) <= 3)
+    def chain(i: int, length: int) -> F.Column:
+        """Segment i and those that follow it, `length` in all, keep to their budget."""
+        mask = 0
+        for k in range(length):
+            mask |= masks[(i + k) % m]
+        return F.bit_count(diff.bitwiseAND(F.lit(signed(mask)))) <= MAX_BITS * length // m
 
-    pairs = probe.join(index, "key").where((F.bit_count(diff) <= MAX_BITS) & (F.col("fp") < F.col("other")))
-    chains = F.lit(False)
+    # the ring's longer chains from the segment that the key names, shortest first; the whole distance is for what they leave
+    ring = F.lit(False)
     for i in range(m):
         w2 = lay[(i + 1) % m][1]
-        chains = chains | ((F.shiftrightunsigned(F.col("key"), 13 + w2) == i) & ring(i))
-    return pairs.where(chains).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+        ring = ring | ((F.shiftrightunsigned(F.col("key"), 13 + w2) == i) & chain(i, 3) & chain(i, 4))
+    # both sides are much larger than the tables that they are unfolded from, which sizes estimated for a broadcast don't show
+    met = probe.hint("merge").join(index, "key").where(ring).where(F.bit_count(diff) <= MAX_BITS).where(F.col("fp") < F.col("other"))
+    return met.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
