@@ -1,23 +1,26 @@
-"""Near-duplicate vectors: a cover tree traversed against itself.
+"""Near-duplicate vectors: cover trees traversed against each other.
 
-Unit vectors, so that a cosine of at least c is a distance of at most sqrt(2 - 2c).  Nested levels of centres with
-halving radii are taken from a bounded sample; every vector descends them to the nearest centre below the one it is
-under, and the covering radii, of every node over all the vectors below it, are measured on all rows.  Two nodes are
-farther apart than their centres' distance less both radii, which prunes pairs of nodes from the root down.  What
-survives at the leaves is compared exactly, in double precision.
+Unit vectors, so that a cosine of at least c is a distance of at most sqrt(2 - 2c).  A tree has nested levels of centres with
+halving radii; every vector descends to the nearest centre below the one it is under, and the covering radius of each
+node is measured over all vectors below it.  Two nodes are farther apart than their centres' distance less both radii,
+which prunes pairs of nodes from the roots down.  What survives at the leaves is compared exactly, in double precision.
 
-Leaves are cut into blocks of bounded size, and surviving pairs of blocks are compared by one task each.  Equal vectors
+The upper tree's centres come from a bounded sample, its radii from all rows.  Its leaves, in order, are dealt to blocks of
+bounded size (a large leaf to several), and pairs of blocks with surviving leaves are compared by one task each.  A task
+grows the lower levels: a tree of its own for either block, traversed against each other in the same way.  Equal vectors
 are one node with a count, so copies are never compared with each other.  A task returns, for each vector, how many
 vectors it links to, and a spanning forest of its links; pairs never leave it.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most link
-with nothing: no links, their own component, kept; a null id has no component and is not kept; rows that repeat an
-id link with each other if their vectors do; other columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing: no links, their own
+component, kept; vectors of different lengths don't link (each length is a pass of its own); a null id has no component
+and is not kept; rows that repeat an id link with each other if their vectors do; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,9 +31,10 @@ from .common import connected_components, materialise
 from .permutation import stacked, usable
 
 COSINE = 0.9
-#: Vectors of the sample that centres are taken from; a level has no more centres than that.
-SAMPLE = 2048
-BLOCK = 4096
+#: Vectors of the sample that the upper tree's centres are taken from, and those of a task's block that its tree's are.
+SAMPLE, LOCAL = 2048, 512
+#: Numbers that a block holds at most, and the least blocks that a table of some size is cut into.
+BLOCK_FLOATS, LEAST_BLOCKS, LEAST_ROWS = 1 << 20, 4, 1024
 SEED = 5
 _ROWS = 512
 
@@ -88,23 +92,32 @@ class Tree:
             out.append(self.parent[l][out[-1]])
         return out[::-1]
 
+    def distances(self, x: np.ndarray, leaf: np.ndarray) -> list[np.ndarray]:
+        """Of each vector, that to its node's centre at every level."""
+        return [np.sqrt(((x - self.levels[l][anc[leaf]]) ** 2).sum(1)) if len(x) else np.zeros(0) for l, anc in enumerate(self.ancestors())]
 
-def may_meet(tree: Tree, radius: list[np.ndarray], reach: float) -> np.ndarray:
-    """Matrix of the leaves that may hold a pair within `reach` of each other, by dual traversal from the root."""
-    meet = np.ones((1, 1), dtype=bool)
-    for l in range(1, len(tree.levels)):
-        up, far, level = tree.parent[l], radius[l], tree.levels[l]
-        ok = meet[np.ix_(up, up)] & (far >= 0)[:, None] & (far >= 0)[None, :]
-        for lo in range(0, len(level), _ROWS):
-            d = np.sqrt(np.maximum(2 - 2 * level[lo : lo + _ROWS] @ level.T, 0))
-            ok[lo : lo + _ROWS] &= d - far[lo : lo + _ROWS, None] - far[None, :] <= reach + 1e-9
-        meet = ok
-    return meet | meet.T
+    def radii(self, leaf: np.ndarray, far: list[np.ndarray]) -> list[np.ndarray]:
+        """Covering radius of every node, by level; -1 where nothing is below it."""
+        out = []
+        for l, anc in enumerate(self.ancestors()):
+            r = np.full(len(self.levels[l]), -1.0)
+            np.maximum.at(r, anc[leaf], far[l])
+            out.append(r)
+        return out
 
 
-def surviving(tree: Tree, radius: list[np.ndarray], reach: float) -> list[tuple[int, int]]:
-    """Pairs of leaves (i <= j) of `may_meet`."""
-    return [(int(a), int(b)) for a, b in np.argwhere(np.triu(may_meet(tree, radius, reach)))]
+def dual_traversal(a: Tree, ra: list[np.ndarray], b: Tree, rb: list[np.ndarray], reach: float) -> tuple[np.ndarray, int]:
+    """(matrix of the leaves of a and b that may hold a pair within `reach` of each other, node pairs visited)."""
+    meet, visited = np.ones((1, 1), dtype=bool), 1
+    for l in range(1, max(len(a.levels), len(b.levels))):
+        la, lb = min(l, len(a.levels) - 1), min(l, len(b.levels) - 1)
+        up = [t.parent[k] if k == l else np.arange(len(t.levels[k])) for t, k in ((a, la), (b, lb))]
+        meet = meet[np.ix_(*up)] & (ra[la] >= 0)[:, None] & (rb[lb] >= 0)[None, :]
+        visited += int(meet.sum())
+        for lo in range(0, len(meet), _ROWS):
+            d = np.sqrt(np.maximum(2 - 2 * a.levels[la][lo : lo + _ROWS] @ b.levels[lb].T, 0))
+            meet[lo : lo + _ROWS] &= d - ra[la][lo : lo + _ROWS, None] - rb[lb][None, :] <= reach + 1e-9
+    return meet, visited
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -122,105 +135,149 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
         label = new
 
 
-def compare(x: np.ndarray, y: np.ndarray | None, least: float, allowed, leaf_x: np.ndarray, leaf_y: np.ndarray):
-    """Links of x's rows to y's (or among x's): yields index arrays, exact in double precision."""
-    other = x if y is None else y
-    for leaf in np.unique(leaf_x):
-        rows = np.flatnonzero(leaf_x == leaf)
-        cols = np.flatnonzero(allowed(leaf, leaf_y))
-        if not len(cols):
-            continue
-        z = other if len(cols) == len(other) else other[cols]
-        for lo in range(0, len(rows), _ROWS):
-            part = rows[lo : lo + _ROWS]
-            i, j = np.nonzero(x[part] @ z.T >= least)
-            i, j = part[i], cols[j]
-            if y is None:
-                i, j = i[i < j], j[i < j]
-            yield i, j
+class Block:
+    """The vectors of a block under a tree of its own."""
 
+    def __init__(self, x: np.ndarray):
+        self.x, self.tree = x, Tree(x[:LOCAL])
+        self.leaf = self.tree.leaves(x)
+        self.radius = self.tree.radii(self.leaf, self.tree.distances(x, self.leaf))
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per row of `vectors`."""
+
+def compare(x: Block, y: Block, least: float, reach: float, stats: dict[str, int]):
+    """Links of x's rows to y's (each pair once if they are the same block): yields index arrays, exact in double precision."""
+    meet, visited = dual_traversal(x.tree, x.radius, y.tree, y.radius, reach)
+    stats["visited"] += visited
+    stats["total"] += len(x.x) * len(y.x)
+    if meet[x.leaf].sum(0)[y.leaf].sum() * 2 > len(x.x) * len(y.x):
+        # most pairs survive: whole rows are quicker than picking them
+        todo = [(np.arange(lo, min(lo + _ROWS, len(x.x))), slice(None)) for lo in range(0, len(x.x), _ROWS)]
+    else:
+        todo = [(rows, np.flatnonzero(meet[leaf][y.leaf])) for leaf in np.unique(x.leaf) for rows in [np.flatnonzero(x.leaf == leaf)]]
+        todo = [(rows[lo : lo + _ROWS], cols) for rows, cols in todo if len(cols) for lo in range(0, len(rows), _ROWS)]
+    for rows, cols in todo:
+        z = y.x[cols]
+        stats["compared"] += len(rows) * len(z)
+        i, j = np.nonzero(x.x[rows] @ z.T >= least)
+        i, j = rows[i], j if isinstance(cols, slice) else cols[j]
+        yield (i[i < j], j[i < j]) if x is y else (i, j)
+
+
+def _block_pairs(spark, ok: np.ndarray, size: np.ndarray, rows: int) -> tuple[DataFrame, DataFrame]:
+    """((leaf, first, spread): a leaf's blocks; (a, b): pairs of blocks with surviving leaves, a <= b).
+
+    Leaves in order fill a block of about `rows` vectors, a larger one has several blocks to itself: that is a group.  Pairs of groups
+    are at most half the square of the upper tree's leaves, a bound that the sample sets; those of blocks, which grow with the
+    table, are unfolded by the executors.
+    """
+    live = np.flatnonzero(size)
+    group, first, spread, room = [], [], [], 0
+    for n in size[live].tolist():
+        if n > room:
+            first.append(first[-1] + spread[-1] if first else 0)
+            spread.append(max(1, -(-n // rows)))
+            room = rows if spread[-1] == 1 else 0
+        room = max(0, room - n) if spread[-1] == 1 else 0
+        group.append(len(first) - 1)
+    where = pd.DataFrame({"leaf": live, "first": np.array(first, dtype=np.int64)[group], "spread": np.array(spread, dtype=np.int64)[group]})
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    meets = np.logical_or.reduceat(np.logical_or.reduceat(ok[np.ix_(live, live)], starts, axis=0), starts, axis=1)
+    i, j = np.nonzero(np.triu(meets))
+    f, s = np.array(first), np.array(spread)
+    groups = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "fi": f[i], "si": s[i], "fj": f[j], "sj": s[j]}))
+    pairs = groups.select("i", "j", "fj", "sj", F.explode(F.sequence("fi", F.col("fi") + F.col("si") - 1)).alias("a"))
+    pairs = pairs.select("a", F.explode(F.sequence("fj", F.col("fj") + F.col("sj") - 1)).alias("b")).where("a <= b")
+    return spark.createDataFrame(where), pairs
+
+
+def _links(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """(rid, links, joined, visited, compared, total) of the nodes (v, rid, copies), all of one length.
+
+    A row for each vector of a task that has links; and one without `rid` for each task, with its counts.
+    """
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    good = materialise(usable(vectors), "cover-rows")
-    nodes = good.groupBy("v").agg(F.min("id").alias("rid"), F.count("*").alias("copies"))
-    sample = stacked(good.select("v", F.xxhash64("v", F.lit(SEED)).alias("h")).distinct().orderBy("h", "v").limit(SAMPLE).select("v").toPandas()["v"])
-    if not len(sample):
-        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    tree = Tree(unit(sample))
+    tree = Tree(unit(stacked(nodes.orderBy(F.xxhash64("v", F.lit(SEED)), "rid").limit(SAMPLE).select("v").toPandas()["v"])))
 
     def place(batches):
         for b in batches:
-            x = stacked(b["v"])
-            u = unit(x)
+            u = unit(stacked(b["v"]))
             leaf = tree.leaves(u) if len(u) else np.zeros(0, dtype=np.int64)
             out = b[["rid", "copies"]].copy()
             out["leaf"] = leaf
             out["u"] = [r.tobytes() for r in u]
-            for l, anc in enumerate(tree.ancestors()):
-                out[f"r{l}"] = np.sqrt(((u - tree.levels[l][anc[leaf]]) ** 2).sum(1)) if len(u) else np.zeros(0)
+            for l, d in enumerate(tree.distances(u, leaf)):
+                out[f"r{l}"] = d
             yield out
 
     far = [f"r{l}" for l in range(len(tree.levels))]
     placed = materialise(nodes.mapInPandas(place, "rid long, copies long, leaf long, u binary, " + ", ".join(f"{c} double" for c in far)), "cover-nodes")
     stats = placed.groupBy("leaf").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in far)).toPandas()
-    radius = []
-    for l, anc in enumerate(tree.ancestors()):
-        r = np.full(len(tree.levels[l]), -1.0)
-        np.maximum.at(r, anc[stats["leaf"].to_numpy()], stats[f"r{l}"].to_numpy())
-        radius.append(r)
-    ok = may_meet(tree, radius, reach)
-    # leaves in order of place fill blocks of bounded size; a large leaf is dealt over several by hash
+    radius = tree.radii(stats["leaf"].to_numpy(), [stats[c].to_numpy() for c in far])
+    ok, visited = dual_traversal(tree, radius, tree, radius, reach)
     size = np.zeros(len(ok), dtype=np.int64)
     size[stats["leaf"].to_numpy()] = stats["n"].to_numpy()
-    first, spread, block, room = np.zeros(len(ok), dtype=np.int64), np.ones(len(ok), dtype=np.int64), 0, BLOCK
-    members: list[set[int]] = [set()]
-    for leaf in np.flatnonzero(size):
-        n = int(size[leaf])
-        if n > room and room < BLOCK:
-            block, room = block + 1, BLOCK
-            members.append(set())
-        first[leaf], spread[leaf] = block, max(1, -(-n // BLOCK))
-        for k in range(int(spread[leaf])):
-            if k:
-                members.append(set())
-            members[block + k].add(int(leaf))
-        block += int(spread[leaf]) - 1
-        room = room - n if spread[leaf] == 1 else 0
-    meets = [(i, j) for i in range(len(members)) for j in range(i, len(members)) if ok[np.ix_(sorted(members[i]), sorted(members[j]))].any()]
-    table = vectors.sparkSession.createDataFrame(
-        [(i, f"{i}-{j}", 0) for i, j in meets] + [(j, f"{i}-{j}", 1) for i, j in meets if i != j], "block long, pair string, side int"
-    )
-    where = vectors.sparkSession.createDataFrame([(int(x), int(first[x]), int(spread[x])) for x in np.flatnonzero(size)], "leaf long, first long, spread long")
-    dealt = placed.select("rid", "copies", "leaf", "u").join(F.broadcast(where), "leaf").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rid"), "spread"))
-    # a row for each block of a surviving pair: at most the square of (vectors / BLOCK) rows, of three numbers
-    dealt = dealt.select("rid", "copies", "leaf", "u", "block").join(F.broadcast(table), "block")
-    # equal vectors meet at the threshold whatever rounding does; others are decided to the last bit of a double
-    least = cosine
+    rows = min(max(1, BLOCK_FLOATS // dim), max(LEAST_ROWS, -(-int(size.sum()) // LEAST_BLOCKS)))
+    where, pairs = _block_pairs(nodes.sparkSession, ok | ok.T, size, rows)
+    sides = pairs.select(F.col("a").alias("block"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b", F.lit(1).alias("side")))
+    # a row for each leaf of the upper tree
+    dealt = placed.select("rid", "copies", "leaf", "u").join(F.broadcast(where), "leaf").select("rid", "copies", "u", (F.col("first") + F.pmod(F.xxhash64("rid"), "spread")).alias("block"))
 
     def meet(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "rid"], kind="stable")
         u = np.frombuffer(b"".join(pdf["u"]), dtype=np.float64).reshape(len(pdf), -1)
-        leaf, copies, rid = pdf["leaf"].to_numpy(), pdf["copies"].to_numpy(), pdf["rid"].to_numpy()
+        copies, rid = pdf["copies"].to_numpy(), pdf["rid"].to_numpy()
         k = int((pdf["side"] == 0).sum())
-        x, y = (u, None) if k == len(u) else (u[:k], u[k:])
-        found, label = np.zeros(len(u), dtype=np.int64), np.arange(len(u))
-        for i, j in compare(x, y, least, lambda a, b: ok[a][b], leaf[:k], leaf if y is None else leaf[k:]):
-            j = j if y is None else j + k
+        x = Block(u[:k])
+        y = Block(u[k:]) if k < len(u) else x
+        found, label, count = np.zeros(len(u), dtype=np.int64), np.arange(len(u)), {"visited": 0, "compared": 0, "total": 0}
+        for i, j in compare(x, y, cosine, reach, count):
+            j = j if y is x else j + k
             np.add.at(found, i, copies[j])
             np.add.at(found, j, copies[i])
             label = forest(len(u), i, j, label) if len(i) else label
         at = np.flatnonzero(found)
-        return pd.DataFrame({"rid": rid[at], "links": found[at], "joined": rid[label[at]]})
+        out = pd.DataFrame({"rid": pd.array([*rid[at], None], dtype="Int64"), "links": [*found[at], 0], "joined": [*rid[label[at]], 0]})
+        for name, n in count.items():
+            out[name] = [0] * len(at) + [n]
+        return out
+
+    schema = "rid long, links long, joined long, visited long, compared long, total long"
+    got = dealt.join(sides, "block").groupBy("a", "b").applyInPandas(meet, schema)
+    upper = nodes.sparkSession.createDataFrame([(None, 0, 0, visited, 0, 0)], schema)
+    return materialise(got.unionByName(upper), "cover-links")
+
+
+def _found(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame] | None:
+    """(nodes (v, rid, id, copies), their links), or None without a vector that takes part."""
+    good = materialise(usable(vectors), "cover-rows")
+    nodes = good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    # rows of one id may hold several vectors, so a node has a number of its own
+    nodes = materialise(nodes.withColumn("rid", F.monotonically_increasing_id()), "cover-vectors")
+    lengths = sorted(r["d"] for r in good.select(F.size("v").alias("d")).distinct().collect())
+    passes = [_links(nodes.where(F.size("v") == d), d, cosine) for d in lengths]
+    return (nodes, reduce(DataFrame.unionByName, passes)) if passes else None
 
-    got = materialise(dealt.groupBy("pair").applyInPandas(meet, "rid long, links long, joined long"), "cover-links")
+
+def report(vectors: DataFrame, cosine: float = COSINE) -> dict[str, int]:
+    """Node pairs visited, vector pairs compared, and vector pairs in all, of the tasks' blocks and the upper tree."""
+    found = _found(vectors, cosine)
+    return {k: int(v or 0) for k, v in found[1].where("rid IS NULL").agg(*(F.sum(c).alias(c) for c in ("visited", "compared", "total"))).first().asDict().items()} if found else {}
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per row of `vectors`."""
+    found = _found(vectors, cosine)
+    if found is None:
+        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    nodes, got = found[0], found[1].where("rid IS NOT NULL").select("rid", "links", "joined")
     comp = connected_components(got.select(F.col("rid").alias("a"), F.col("joined").alias("b")).distinct())
+    comp = comp.withColumnRenamed("node", "rid").join(nodes.select("rid", "id"), "rid")
+    least = comp.groupBy("component").agg(F.min("id").alias("least"))
     links = got.groupBy("rid").agg(F.sum("links").alias("links"))
     per_node = (
         nodes.join(links, "rid", "left")
-        .join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-        .select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rid").alias("component_id"))
+        .join(comp.select("rid", "component").join(least, "component"), "rid", "left")
+        .select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     )
     row = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("embedding")).alias("_v"))
     out = row.join(per_node, "_v", "left")

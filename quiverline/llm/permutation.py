@@ -12,18 +12,19 @@ into blocks that meet each vector block once; a block's best are reranked there,
 The rerank takes a fixed share of every block, so the work is the same for each query and block, and what ties with the
 last of it.  Equal vectors of a block are posted once with all their ids, so copies neither crowd the share nor are cut by it.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most, take
-no part; with fewer candidates than k, all are returned; equal scores go to the smaller id; repeated ids are
-candidates each, except the query's own id, which is never one; an id that is null takes no part; other columns are ignored.
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query's candidates are the
+vectors of its own length (each length is a pass of its own); with fewer candidates than k, all are returned; equal
+scores go to the smaller id; repeated ids are candidates each, except the query's own id, which is never one; an id that is
+null takes no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,9 +35,10 @@ KEPT_PIVOTS = 64
 #: Share of a block's vectors that is reranked, and the least number.
 RERANK_SHARE = 0.15
 RERANK_LEAST = 400
-#: Vectors of a block, queries of a block.
+#: Vectors of a block, queries of a block, and the numbers that either holds at most.
 BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
+BLOCK_FLOATS = 1 << 22
 SEED = 11
 #: Rows of the hash sample that pivots are chosen from, and the cosine above which two would see the same.
 PIVOT_SAMPLE = 4096
@@ -44,12 +46,10 @@ PIVOT_COSINE = 0.5
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v): rows of `vec_id`, `embedding` whose vectors can take part, all of the most frequent length."""
+    """(id, v): rows of `vec_id`, `embedding` whose vectors can take part."""
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    dim = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (dim[0]["d"] if dim else 0))
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -141,15 +141,23 @@ class Nodes:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOTS, kept: int = KEPT_PIVOTS, share: float = RERANK_SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by `every`."""
     rows = materialise(usable(vectors), "permutation")
-    n, longest = rows.agg(F.count("*"), F.sqrt(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))")))).first()
-    schema = "query_id long, vec_id long, score double"
-    if not n:
+    norm = F.sqrt(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))")))
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), norm.alias("longest"), F.count_if(F.col("id") % every == 0).alias("asks")).orderBy("dim").collect()
+    passes = [_search_length(rows.where(F.size("v") == r["dim"]), r, k, every, pivots, kept, share) for r in sizes]
+    if not passes:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = reduce(DataFrame.unionByName, passes)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(rows: DataFrame, size: Row, k: int, every: int, pivots: int, kept: int, share: float) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every block for each query, among vectors of one length."""
+    longest, schema = size["longest"], "query_id long, vec_id long, score double"
+    most = max(1, BLOCK_FLOATS // size["dim"])
     sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
     piv = spread_pivots(lift(stacked(sample), longest), pivots)
-    n_blocks = max(1, -(-n // BLOCK))
-    n_queries = rows.where(F.col("id") % every == 0).count()
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    n_blocks, q_blocks = max(1, -(-size["n"] // min(BLOCK, most))), max(1, -(-size["asks"] // min(QUERY_BLOCK, most)))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int")
     q_block = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(q_blocks)).cast("int")
     data = rows.select("id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("asks"))
@@ -172,6 +180,4 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, pivots: int = PIVOT
             got.append((np.full(len(best), qid), best, s))
         return pd.DataFrame({name: np.concatenate(col) for name, col in zip(out.columns, zip(*got))})
 
-    found = data.unionByName(asks).groupBy("block", "q_block").applyInPandas(meet, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return data.unionByName(asks).groupBy("block", "q_block").applyInPandas(meet, schema)

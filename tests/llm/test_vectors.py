@@ -84,7 +84,7 @@ def test_footrule_of_the_postings():
 
 @pytest.mark.parametrize("block", [64, 4096])
 def test_all_links_as_by_hand(spark, cloud, monkeypatch, block):
-    monkeypatch.setattr(covertree, "BLOCK", block)
+    monkeypatch.setattr(covertree, "BLOCK_FLOATS", block * 16)
     got = {r["vec_id"]: r for r in covertree.near_duplicates(table(spark, [(i + 5, v.tolist()) for i, v in enumerate(cloud)])).collect()}
     u = covertree.unit(cloud.astype(float))
     m = u @ u.T >= 0.9
@@ -96,22 +96,23 @@ def test_all_links_as_by_hand(spark, cloud, monkeypatch, block):
         assert (r["n_links"], r["component_id"], r["kept"]) == (m[i].sum(), label[i] + 5, label[i] == i)
 
 
+def radii(tree, x):
+    leaf = tree.leaves(x)
+    return leaf, tree.radii(leaf, tree.distances(x, leaf))
+
+
 def test_pruning_is_safe():
     rng = np.random.default_rng(15)
     centre = covertree.unit(rng.normal(size=(12, 8)))
     x = covertree.unit(np.repeat(centre, 60, axis=0) + 0.05 * rng.normal(size=(720, 8)))
-    tree = covertree.Tree(x)
-    leaf = tree.leaves(x)
-    radius = []
-    for l, anc in enumerate(tree.ancestors()):
-        r = np.full(len(tree.levels[l]), -1.0)
-        np.maximum.at(r, anc[leaf], np.sqrt(((x - tree.levels[l][anc[leaf]]) ** 2).sum(1)))
-        radius.append(r)
-    pairs = set(covertree.surviving(tree, radius, 0.3))
-    a, b = np.nonzero(((x[:, None] - x[None]) ** 2).sum(2) <= 0.09)
-    assert {(min(p, q), max(p, q)) for p, q in zip(leaf[a], leaf[b])} <= pairs
-    used = len(np.unique(leaf))
-    assert len(pairs) < used * (used + 1) / 2
+    y = covertree.unit(np.repeat(centre[:5], 40, axis=0) + 0.05 * rng.normal(size=(200, 8)))
+    for other in (x, y):
+        a, b = covertree.Tree(x), covertree.Tree(other[:50])
+        (la, ra), (lb, rb) = radii(a, x), radii(b, other)
+        meet, visited = covertree.dual_traversal(a, ra, b, rb, 0.3)
+        i, j = np.nonzero(((x[:, None] - other[None]) ** 2).sum(2) <= 0.09)
+        assert meet[la[i], lb[j]].all() and visited > 1
+        assert meet.sum() < len(np.unique(la)) * len(np.unique(lb)) / 2
 
 
 def test_levels_grow_with_the_sample():
@@ -120,13 +121,45 @@ def test_levels_grow_with_the_sample():
     x = covertree.unit(np.repeat(centre, 3, axis=0) + 0.005 * rng.normal(size=(1200, 64)))
     tree = covertree.Tree(x)
     assert len(tree.levels) > 1 and len(tree.levels[-1]) >= 400
-    leaf = tree.leaves(x)
-    radius = []
-    for l, anc in enumerate(tree.ancestors()):
-        r = np.full(len(tree.levels[l]), -1.0)
-        np.maximum.at(r, anc[leaf], np.sqrt(((x - tree.levels[l][anc[leaf]]) ** 2).sum(1)))
-        radius.append(r)
-    ok = covertree.may_meet(tree, radius, 0.2)
+    leaf, r = radii(tree, x)
+    ok, _ = covertree.dual_traversal(tree, r, tree, r, 0.2)
     a, b = np.nonzero(x @ x.T >= 0.98)
     assert ok[leaf[a], leaf[b]].all()
     assert ok.sum() < 0.1 * len(np.unique(leaf)) ** 2
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_links_of_wide_vectors(spark, monkeypatch, kind):
+    """As production vectors are: 64 components, over several blocks; clusters are pruned, isotropic vectors hardly."""
+    monkeypatch.setattr(covertree, "BLOCK_FLOATS", 200 * 64)
+    monkeypatch.setattr(covertree, "SAMPLE", 256)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(1500, 64))
+    if kind == "clustered":
+        x = np.repeat(rng.normal(size=(150, 64)), 10, axis=0) + 0.2 * x
+    x = np.concatenate([x, x[:50] + 0.3 * rng.normal(size=(50, 64))]).astype(np.float32)
+    rows = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    u = covertree.unit(x.astype(float))
+    m = u @ u.T >= 0.9
+    np.fill_diagonal(m, False)
+    label = covertree.forest(len(u), *np.nonzero(m), np.arange(len(u)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(rows).collect()}
+    assert got == {i: (m[i].sum(), label[i]) for i in range(len(u))} and m.any()
+    told = covertree.report(rows)
+    assert told["visited"] > 1 and told["total"] >= len(u) ** 2 / 2
+    assert told["compared"] < told["total"] / 3 or kind == "isotropic"
+
+
+def test_repeated_ids_lengths_and_the_threshold(spark):
+    edge = [0.9, (1 - 0.81) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 3.0, 0.0]), (5, [3.0, 0.0, 0.0, 0.0]), (6, [1.0, 0.6]), (7, edge)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in covertree.near_duplicates(table(spark, rows)).collect())
+    u = covertree.unit(np.array([[1, 0], edge, [1.0, 0.6]], dtype=np.float32).astype(float))
+    m = u @ u.T >= 0.9
+    near = [int(m[0, 1]) * 3 + int(m[1, 2]), int(m[0, 2]) * 3 + int(m[1, 2])]
+    first = 2 + int(m[0, 1]) + int(m[0, 2])
+    assert got[:3] == [(1, first, 1), (1, first, 1), (2, first, 1)] and got[3:6] == [(3, 1, 3), (4, 1, 3), (5, 0, 5)]
+    assert [x[1] for x in got[6:]] == near[::-1]
+    # a query's candidates have its length; equal scores go to the smaller id, repeated ids are candidates each
+    found = [(r["query_id"], r["rank"], r["vec_id"]) for r in permutation.search(table(spark, [(20, [1.0, 1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [0.0, 1.0]), (4, [9.0, 9.0, 9.0])])).collect()]
+    assert sorted(found) == [(20, 1, 2), (20, 2, 3), (20, 3, 3)]
