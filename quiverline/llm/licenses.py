@@ -1,11 +1,12 @@
 """License scan: base phrases plus ordered signature rules.
 
-Method: several hundred regular expressions, each gated by a keyword that must occur in the text, each with a
-priority.  Detections are taken in order of priority, then length; one that lies inside an accepted interval is
-suppressed.  The three base phrases are matched apart from the rules and always stay.
+Method: several hundred hand-written regular expressions (`license_rules`), each gated by keywords of which one must occur
+in the text, each with a priority of its own.  Detections are taken in order of priority; one that lies inside an accepted
+interval is suppressed.  The three base phrases are matched apart from the rules and always stay.
 
-Defined results: a null text is an empty one; an empty text has no words, no labels and score 0; repeated rows give
-repeated results; a null doc_id stays null; other input columns are ignored.
+Defined results: a null text is an empty one; an empty text has no words, no labels and score 0; a very long text is
+scanned whole, in time that grows with its length and its detections; an empty table gives an empty result; repeated rows
+give repeated results; a null doc_id stays null; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import license_rules
+
 #: Base phrases and their labels.
 BASE = (
     ("under the mit license", "mit"),
@@ -24,112 +29,6 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: A family is a label, the words that name it, and a keyword that every naming contains.
-FAMILIES = (
-    ("mit", r"(?:mit|expat|x11)", "mit|expat|x11"),
-    ("apache-1", r"apache(?: software)?(?: license)?(?: version)? 1(?: [01])?", "apache"),
-    ("apache-2", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache"),
-    ("bsd-0", r"(?:zero clause|0 clause|0bsd) ?(?:bsd)?", "bsd|clause"),
-    ("bsd-2", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd"),
-    ("bsd-3", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd"),
-    ("bsd-4", r"(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", "bsd"),
-    ("gpl-1", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", "gpl|general public"),
-    ("gpl-2", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", "gpl|general public"),
-    ("gpl-3", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", "gpl|general public"),
-    ("lgpl-2", r"(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?", "lgpl|library general"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", "lgpl|lesser"),
-    ("lgpl-3", r"(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", "lgpl|lesser"),
-    ("agpl-1", r"(?:agpl|affero general public license)(?: version| v)? ?1(?: 0)?", "agpl|affero"),
-    ("agpl-3", r"(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?", "agpl|affero"),
-    ("mpl-1", r"(?:mpl|mozilla public license)(?: version| v)? ?1(?: [01])?", "mpl|mozilla"),
-    ("mpl-2", r"(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", "mpl|mozilla"),
-    ("epl-1", r"(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", "epl|eclipse"),
-    ("epl-2", r"(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", "epl|eclipse"),
-    ("eupl-1", r"(?:eupl|european union public licence)(?: version| v)? ?1(?: [012])?", "eupl|european union"),
-    ("cddl-1", r"(?:cddl|common development and distribution license)(?: version| v)? ?1(?: [01])?", "cddl|common development"),
-    ("cpl-1", r"(?:cpl|common public license)(?: version| v)? ?1(?: 0)?", "cpl|common public"),
-    ("isc", r"isc", "isc"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("libpng", r"libpng", "libpng"),
-    ("boost-1", r"(?:bsl|boost software license)(?: version| v)? ?1(?: 0)?", "bsl|boost"),
-    ("artistic-1", r"(?:perl )?artistic license(?: version| v)? ?1(?: 0)?", "artistic"),
-    ("artistic-2", r"artistic license(?: version| v)? ?2(?: 0)?", "artistic"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what"),
-    ("cc0", r"(?:cc0|cc zero|creative commons zero)(?: 1 0)?", "cc0|zero"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: [1-4](?: [05])?)?(?! (?:nc|nd|sa|non|no|share))", "cc by|creative commons"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4](?: [05])?)?", "cc by|creative commons"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv\w*)(?: [1-4](?: [05])?)?", "cc by|creative commons"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4](?: [05])?)?(?! (?:nd|sa|no|share))", "cc by|creative commons"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4](?: [05])?)?", "cc by|creative commons"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w*)(?: [1-4](?: [05])?)?", "cc by|creative commons"),
-    ("odbl", r"(?:odbl|open database license)(?: 1 0)?", "odbl|open database"),
-    ("odc-by", r"(?:odc by|open data commons attribution)(?: 1 0)?", "odc|open data commons"),
-    ("pddl", r"(?:pddl|public domain dedication and license)(?: 1 0)?", "pddl|public domain"),
-    ("psf-2", r"(?:psf|python software foundation)(?: license)?(?: version| v)?(?: 2(?: 0)?)?", "psf|python software"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("ms-pl", r"(?:ms pl|microsoft public license)", "ms pl|microsoft"),
-    ("ms-rl", r"(?:ms rl|microsoft reciprocal license)", "ms rl|microsoft"),
-    ("ofl-1.1", r"(?:ofl|sil open font license)(?: version| v)?(?: 1 1)?", "ofl|open font"),
-    ("afl-3", r"(?:afl|academic free license)(?: version| v)? ?3(?: 0)?", "afl|academic free"),
-    ("osl-3", r"(?:osl|open software license)(?: version| v)? ?3(?: 0)?", "osl|open software"),
-    ("ncsa", r"(?:ncsa|university of illinois open source)", "ncsa|illinois"),
-    ("php-3", r"php(?: license)?(?: version| v)? ?3(?: 0| 01)?", "php"),
-    ("ruby", r"ruby", "ruby"),
-    ("vim", r"vim", "vim"),
-    ("upl-1", r"(?:upl|universal permissive license)(?: version| v)?(?: 1 0)?", "upl|universal permissive"),
-    ("bsl-1.1", r"business source license(?: version| v)?(?: 1 1)?", "business source"),
-    ("sspl-1", r"(?:sspl|server side public license)(?: version| v)?(?: 1)?", "sspl|server side"),
-    ("elastic-2", r"elastic license(?: version| v)?(?: 2(?: 0)?)?", "elastic"),
-    ("proprietary", r"proprietary", "proprietary"),
-)
-
-#: Names that leave the version or clause count open; their rules come after all others, so a name with a version is taken first.
-UNVERSIONED = (
-    ("apache", r"apache(?: software)?", "apache"),
-    ("bsd", r"bsd", "bsd"),
-    ("gpl", r"(?:gnu )?(?:gpl|general public license)", "gpl|general public"),
-    ("lgpl", r"(?:gnu )?(?:lgpl|(?:lesser|library) general public license)", "lgpl|lesser|library general"),
-    ("agpl", r"(?:gnu )?(?:agpl|affero general public license)", "agpl|affero"),
-    ("mpl", r"(?:mpl|mozilla public license)", "mpl|mozilla"),
-    ("epl", r"(?:epl|eclipse public license)", "epl|eclipse"),
-    ("eupl", r"(?:eupl|european union public licence)", "eupl|european union"),
-    ("cddl", r"(?:cddl|common development and distribution license)", "cddl|common development"),
-    ("cpl", r"(?:cpl|common public license)", "cpl|common public"),
-    ("boost", r"(?:bsl|boost software license)", "bsl|boost"),
-    ("artistic", r"(?:perl )?artistic license", "artistic"),
-    ("afl", r"(?:afl|academic free license)", "afl|academic free"),
-    ("osl", r"(?:osl|open software license)", "osl|open software"),
-    ("php", r"php", "php"),
-)
-#: Their confidence, as a share of that of the same statement with a version; and that of a name that says licence itself.
-UNVERSIONED_SHARE, NAME_ALONE = 0.5, 0.3
-
-#: Ways a licence is stated around its name, from the surest: pattern, confidence.
-STATEMENTS = (
-    (r"spdx license identifier {name}", 1.0),
-    (r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[cs]e)?", 0.95),
-    (r"(?:subject to|governed by|covered by|under) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name} licen[cs]e", 0.9),
-    (r"(?:the )?{name} (?:software |public )?licen[cs]e", 0.8),
-    (r"licen[cs]e {name}", 0.7),
-)
-
-#: Texts of licences and notices, which name no licence: label, pattern, keyword, confidence.
-NOTICES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 0.95),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee", "with or without fee", 0.95),
-    ("apache-2", r"you may not use this file except in compliance with the license", "in compliance", 0.9),
-    ("bsd-3", r"neither the name of .{1,120}? nor the names of its contributors may be used", "nor the names", 0.95),
-    ("bsd-2", r"redistributions in binary form must reproduce the above copyright notice", "redistributions", 0.7),
-    ("gpl-3", r"either version 3 of the license or at your option any later version", "any later version", 0.8),
-    ("gpl-2", r"either version 2 of the license or at your option any later version", "any later version", 0.8),
-    ("zlib", r"altered source versions must be plainly marked as such", "plainly marked", 0.95),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain", 0.85),
-    ("all-rights-reserved", r"all rights reserved", "all rights reserved", 0.6),
-    ("boost-1", r"distributed under the boost software license", "boost", 0.9),
-)
-
 _SEP = bytes(x for x in range(0x80) if not (0x30 <= x <= 0x39 or 0x41 <= x <= 0x5A or 0x61 <= x <= 0x7A))
 _TABLE = bytes(ord(" ") if bytes([x]) in _SEP else (x + 32 if 0x41 <= x <= 0x5A else x) for x in range(256))
 
@@ -140,32 +39,23 @@ def normal(text: str | None) -> bytes:
 
 
 @lru_cache(1)
-def rules() -> list[tuple[int, str, re.Pattern, float, str]]:
-    """(priority, label, pattern, confidence, keywords), surest first."""
-    out = [(conf, label, pat, keys) for label, pat, keys, conf in NOTICES]
-    out += [(conf, label, pat.format(name=name), keys) for pat, conf in STATEMENTS for label, name, keys in FAMILIES]
-    out.sort(key=lambda r: -r[0])
-    # lesser, library and affero licences hold the general one's name
-    apart = "(?<!lesser )(?<!library )(?<!affero )"
-    open_ended = {label for label, *_ in UNVERSIONED}
-    out += [(NAME_ALONE, label, rf"(?:the )?{apart}(?=[a-z ]*?licen[cs]e){name}", keys) for label, name, keys in FAMILIES if label.rsplit("-", 1)[0] in open_ended]
-    late = [(conf * UNVERSIONED_SHARE, label, pat.format(name=apart + name), keys) for pat, conf in STATEMENTS for label, name, keys in UNVERSIONED]
-    late += [(NAME_ALONE, label, rf"{apart}{name}(?: licen[cs]e)?(?<=licen[cs]e)", keys) for label, name, keys in UNVERSIONED]
-    out += sorted(late, key=lambda r: -r[0])
-    return [(i, label, re.compile(rb"(?:(?<= )|^)" + pat.encode() + rb"(?= |$)"), conf, keys) for i, (conf, label, pat, keys) in enumerate(out)]
+def rules() -> list[tuple[str, re.Pattern, float]]:
+    """(label, expression over whole words, confidence), in order of priority."""
+    return [(label, re.compile(rb"(?:(?<= )|^)(?:" + expression.encode() + rb")(?= |$)"), confidence) for label, confidence, _, expression in license_rules.parsed()]
 
 
 @lru_cache(1)
-def keywords() -> list[tuple[bytes, list[int]]]:
-    by: dict[bytes, list[int]] = {}
-    for i, *_, keys in rules():
-        for k in keys.split("|"):
-            by.setdefault(k.encode(), []).append(i)
-    return list(by.items())
-
-
-#: Every rule's text holds one of these, so texts without any need no further look.
-GATE = (b"licen", b"hereby granted", b"fee", b"nor the names", b"redistributions", b"any later", b"plainly marked", b"unencumbered", b"public domain", b"all rights", b"published under", b"released under", b"distributed under", b"available under", b"provided under", b"in compliance")
+def keywords() -> ahocorasick.Automaton:
+    """All keywords in one automaton, each with the rules that it gates."""
+    by: dict[str, set[int]] = {}
+    for i, (_, _, keys, _) in enumerate(license_rules.parsed()):
+        for k in keys:
+            by.setdefault(k.strip(), set()).add(i)
+    out = ahocorasick.Automaton()
+    for k, ids in by.items():
+        out.add_word(k, frozenset(ids))
+    out.make_automaton()
+    return out
 
 
 def base_places(norm: bytes) -> list[tuple[int, int, str]]:
@@ -181,18 +71,21 @@ def base_places(norm: bytes) -> list[tuple[int, int, str]]:
 
 
 def rule_places(norm: bytes) -> list[tuple[int, int, str, float]]:
-    """Accepted detections of the rules: by priority, then longer, none inside an accepted interval."""
-    if not any(g in norm for g in GATE):
-        return []
-    todo = sorted({i for k, ids in keywords() if k in norm for i in ids})
-    found = []
-    for i in todo:
-        prio, label, pat, conf, _ = rules()[i]
-        found += [(prio, -(m.end() - m.start()), m.start(), m.end(), label, conf) for m in pat.finditer(norm)]
+    """Accepted detections of the rules, in order of priority: none lies inside an accepted one."""
+    gates = {ids for _, ids in keywords().iter(norm.decode("latin-1"))}
+    todo = sorted(set().union(*gates))
+    # from each place that accepted intervals cover, how far they reach
+    reach = np.zeros(len(norm) if todo else 0, dtype=np.int64)
     kept: list[tuple[int, int, str, float]] = []
-    for _, _, a, b, label, conf in sorted(found):
-        if not any(x <= a and b <= y for x, y, _, _ in kept):
-            kept.append((a, b, label, conf))
+    for i in todo:
+        label, expression, confidence = rules()[i]
+        # a rule's own matches don't overlap, so they can be taken together
+        spans = np.array([m.span() for m in expression.finditer(norm)], dtype=np.int64).reshape(-1, 2)
+        spans = spans[reach[spans[:, 0]] < spans[:, 1]]
+        size = spans[:, 1] - spans[:, 0]
+        at = np.repeat(spans[:, 1] - np.cumsum(size), size) + np.arange(size.sum())
+        reach[at] = np.maximum(reach[at], np.repeat(spans[:, 1], size))
+        kept += [(a, b, label, confidence) for a, b in spans.tolist()]
     return kept
 
 
@@ -200,10 +93,14 @@ def scan_text(text: str | None) -> tuple:
     norm = normal(text)
     n = norm.count(b" ") + 1 if norm else 0
     base, more = base_places(norm), rule_places(norm)
-    starts = [norm.count(b" ", 0, a) for a, _, _ in base]
+    starts, spans = [], []
+    if base or more:
+        blanks = np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 32)
+        starts = np.searchsorted(blanks, [a for a, _, _ in base]).tolist()
+        first, last = (np.searchsorted(blanks, [x[k] for x in more]).tolist() for k in (0, 1))
+        spans = [(a, b + 1, label, conf) for a, b, (_, _, label, conf) in zip(first, last, more)]
     labels = {x[2] for x in base}
     score = max([0.0] + [1.0] * bool(base) + [x[3] for x in more])
-    spans = [(norm.count(b" ", 0, a), norm.count(b" ", 0, b) + 1, label, conf) for a, b, label, conf in more]
     return (
         n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
         ",".join(sorted(labels | {x[2] for x in more})), score, spans,

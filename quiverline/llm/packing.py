@@ -3,15 +3,15 @@
 Documents are tokenized, ended by id 0 and routed by length to tiers of context size.  Whole windows of the longest tier are
 cut off long documents; what remains, and short documents, wait in pools, one for each tier.  A window of the long tier
 is opened by the longest waiting piece and its gap filled best-fit from the shorter pools, the last of them cut to fit;
-then the next tier likewise.  Windows are exactly full, so only the few ids left at the end of a partition can need
-padding.  Sequences are dealt to step groups of equal tokens, each with the same mix of tiers.
+then the next tier likewise.  Windows are exactly full, and the few ids left at the end of a partition are cut to powers of two,
+so no sequence needs padding.  Sequences are dealt to step groups of equal tokens, each with the same mix of tiers.
 
 A partition is packed by itself, with bounded pools, so packing is one pass without a shuffle; a lost task repeats
 its partition and numbers it alike.
 
 Defined results: a null text is an empty one, packed as the single id 0; a null doc_id is packed with a null id;
-repeated rows are packed once each; special-token strings in a text are ordinary text; other columns are ignored; an
-empty table has no sequences.
+repeated rows are packed once each; strings of the vocabulary's added tokens in a text become those tokens, as its own
+library does by default; very long texts are packed whole; other columns are ignored; an empty table has no sequences.
 """
 
 from __future__ import annotations
@@ -31,34 +31,40 @@ TIERS = (1024, 512, 256)
 STEP_TOKENS = 1 << 16
 #: Waiting ids at which the pools are packed.
 POOL_IDS = 1 << 21
-#: Ids left at the end are cut to powers of two down to this; fewer form one sequence.
-LEAST_TAIL = 32
 _CHARS = 1 << 22
 _CACHE = 300_000
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """(path of the ranks, split pattern) of the public 50k byte-level BPE."""
+#: Path of the ranks, split pattern, path of the same vocabulary's description, which names the added tokens.
+Vocabulary = tuple[str, str, str]
+
+
+def default_vocabulary() -> Vocabulary:
+    """The public 50k byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 class BatchTokenizer:
     """Byte-level BPE over batches: each different blank-led segment is encoded once.
 
     The split pattern never joins across a blank that a mark or letter follows, so a text may be cut there; texts with
-    a blank before white space, or at their end, are encoded in one piece.
+    a blank before white space, or at their end, are encoded in one piece.  Added tokens are cut out first; what stands
+    between them is encoded by itself.
     """
 
     _odd = re.compile(r" (?:\s|$)")
 
-    def __init__(self, vocabulary: tuple[str, str]):
+    def __init__(self, vocabulary: Vocabulary):
         import base64
+        import json
 
         import tiktoken
 
-        path, pattern = vocabulary
+        path, pattern, description = vocabulary
+        self.added = {t["content"]: int(t["id"]) for t in json.load(open(description, encoding="utf-8")).get("added_tokens", [])}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -84,11 +90,18 @@ class BatchTokenizer:
         self.size.append(np.diff(cut, prepend=0))
         self.used += len(ids)
 
+    def _with_added(self, text: str) -> np.ndarray:
+        parts = [[self.added[p]] if i % 2 else self.enc.encode_ordinary(p) for i, p in enumerate(self._cut.split(text))]
+        return np.array([x for p in parts for x in p], dtype=np.uint32)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         split, who = [], []
         for i, t in enumerate(texts):
             t = t or ""
+            if any(a in t for a in self.added):
+                out[i] = self._with_added(t)
+                continue
             head, blank, tail = t.partition(" ")
             if not blank or self._odd.search(t):
                 out[i] = np.array(self.enc.encode_ordinary(t), dtype=np.uint32)
@@ -168,8 +181,6 @@ class Packer:
         if last:
             while total:
                 size = 1 << (total.bit_length() - 1)
-                if total <= LEAST_TAIL:
-                    size = total
                 pieces, gap = [], size
                 while gap:
                     n, order, doc, ids, at = pool.pop()
@@ -221,7 +232,7 @@ def text_blocks(texts: pd.Series, chars: int = _CHARS) -> Iterator[tuple[int, in
         yield lo, len(texts)
 
 
-def pack(docs: DataFrame, vocabulary: tuple[str, str] | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece; `context_size` is the sequence's padded length, `step_group` its training step group."""
     vocabulary = vocabulary or default_vocabulary()
 
