@@ -12,9 +12,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`.  No other folder can stand in for it on a cluster;
+    where Spark runs in one process, a temporary one can."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quiverline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,7 +33,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _write(df: DataFrame, path: str) -> None:
+def _write(df: DataFrame, path: str, dictionary: bool = True) -> None:
     """Write Parquet and let Spark drop the shuffle files of this one job when it ends."""
     spark = df.sparkSession
     before = spark.conf.get(CLEANUP, None)
@@ -39,7 +42,7 @@ def _write(df: DataFrame, path: str) -> None:
     except Exception:  # an engine without the setting keeps its shuffle files until they are collected
         before = "absent"
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -47,13 +50,14 @@ def _write(df: DataFrame, path: str) -> None:
             spark.conf.set(CLEANUP, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Cut the lineage: write `df` under the shared folder and read it back.
 
-    A lost executor then costs no more than the tasks it ran; the table itself outlives every executor.
+    A lost executor then costs no more than the tasks it ran; the table itself outlives every executor.  Tables of hashes
+    are written without a dictionary, which would cost more than it saves.
     """
     path = new_path(df.sparkSession, name)
-    _write(df, path)
+    _write(df, path, dictionary)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

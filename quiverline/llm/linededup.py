@@ -28,8 +28,8 @@ from pyspark.sql.window import Window
 from .common import drop_tables, materialise
 
 BUCKETS = 1 << 16
-#: Turns that the tokens are joined in.
-TURNS = 4
+#: Turns that the tokens are joined in, a power of two.
+TURNS = 2
 #: Words from which on a line has four parity words of 64 bits instead of two.
 LONG = 160
 #: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
@@ -39,22 +39,19 @@ _LENGTH_BITS, _CLASS_BITS = 5, 6
 _WORDS = ["w0", "w1", "w2", "w3"]
 
 
-def _tokens(line: Column) -> Column:
-    """Lower-cased words between white space."""
-    low = F.lower(line)
-    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
-    return F.array_remove(F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " "), "")
-
-
-def _set(line: Column) -> Column:
-    """The different tokens of a line: longs of 63 bits, a longer word's below a shorter one's, then by hash."""
+def _set(low: Column) -> Column:
+    """The different tokens of a lower-cased line, which stand between white space: longs of 63 bits, a longer word's below a
+    shorter one's, then by hash."""
     most = (1 << _LENGTH_BITS) - 1
 
     def token(t: Column) -> Column:
         short = F.lit(most) - F.least(F.octet_length(t), F.lit(most))
         return F.shiftleft(short.cast("long"), 63 - _LENGTH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 1 + _LENGTH_BITS))
 
-    return F.array_distinct(F.transform(_tokens(line), token))
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    words = F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " ")
+    # between blanks that follow each other stands nothing, whose length no token has
+    return F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))
 
 
 def _bucket(token: Column) -> Column:
@@ -66,7 +63,8 @@ class _Places:
     """Longs that order lines by doc_id, then place: `key << bits | place`, the key being the id where it fits, else its rank."""
 
     def __init__(self, docs: DataFrame):
-        most, low, high = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))), F.min("doc_id"), F.max("doc_id")).first()
+        # a text has fewer line breaks than bytes
+        most, low, high = docs.agg(F.max(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
         self.bits = max(1, int((most or 0) + 1).bit_length())
         self.ranked = None
         if low is None or (low >= 0 and int(high).bit_length() + self.bits <= 62):
@@ -92,9 +90,9 @@ def line_table(docs: DataFrame, places: _Places) -> tuple[DataFrame, DataFrame]:
     split = places.keyed(docs).where("key IS NOT NULL AND text IS NOT NULL").select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     low = F.lower("line")
     hashed = split.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select(
-        "key", "place", "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("key", places.bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
+        "key", "place", low.alias("low"), F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("key", places.bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
     )
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "line")).alias("f")).select("h1", "h2", "f.seq", _set(F.col("f.line")).alias("r"))
+    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "low")).alias("f")).select("h1", "h2", "f.seq", _set(F.col("f.low")).alias("r"))
     return hashed.select("key", "place", "h1", "h2", "seq"), first
 
 
@@ -149,7 +147,8 @@ def _folded(name: str = "") -> list[Column]:
 
 
 def _turn(rows: DataFrame, turn: int) -> DataFrame:
-    return rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn)
+    """Rows of the tokens whose lowest bits, a hash's, name the turn."""
+    return rows.where(F.col("token").bitwiseAND(F.lit(TURNS - 1)) == turn)
 
 
 def _short(n: str) -> Column:
@@ -191,15 +190,15 @@ def _pairs(heads: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """`ids`, a table of one long, to be broadcast if it has few rows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _few(ids: DataFrame) -> bool:
+    """Whether a table of one long is small enough to be broadcast."""
+    return ids.count() <= BROADCAST_IDS
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(`y` of the pairs (x, y) whose whole sets have a Jaccard similarity of at least 4/5, tables it reads)."""
     ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("seq")).distinct(), "line-ids")
-    sets = materialise(lines.select("seq", "r").join(_few(ids), "seq", "left_semi"), "line-sets")
+    sets = materialise(lines.select("seq", "r").join(F.broadcast(ids) if _few(ids) else ids, "seq", "left_semi"), "line-sets", dictionary=False)
     both = pairs.join(sets.select(F.col("seq").alias("x"), F.col("r").alias("a")), "x").join(sets.select(F.col("seq").alias("y"), F.col("r").alias("b")), "y")
     near = both.where(F.size(F.array_intersect("a", "b")) * 9 >= (F.size("a") + F.size("b")) * 4).select("y").distinct()
     return near, [ids, sets]
@@ -216,13 +215,15 @@ def _in_turns(one, heads: DataFrame, lines: DataFrame) -> DataFrame:
 
 def similar_lines(lines: DataFrame) -> DataFrame:
     """`y`: the `seq` of the lines that an earlier line of `lines(seq, r)` is similar to or equals as a set."""
-    heads = materialise(_heads(lines, rarity(lines)), "line-heads")
+    heads = materialise(_heads(lines, rarity(lines)), "line-heads", dictionary=False)
     near = _in_turns(_to_pivots, heads, lines)
     known = near.select(F.col("y").alias("seq"), F.lit(False).alias("alone"))
-    marked = materialise(heads.where("n >= 4").join(_few(known), "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True))), "line-marked")
-    drop_tables(heads)
+    few = _few(known)
+    marked = heads.where("n >= 4").join(F.broadcast(known) if few else known, "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
+    if not few:  # joined once, not in every turn
+        marked = materialise(marked, "line-marked", dictionary=False)
     out = materialise(near.unionByName(_in_turns(_pairs, marked, lines)), "line-similar")
-    drop_tables(marked, near)
+    drop_tables(heads, near, *[marked] * (not few))
     return out
 
 
@@ -230,7 +231,7 @@ def _removed(docs: DataFrame) -> tuple[_Places, DataFrame]:
     """(places, (key, gone)): the places of the lines that go, for documents that lose any, of `docs(doc_id, text)`."""
     places = _Places(docs)
     every, first = line_table(docs, places)
-    first = materialise(first, "line-table")
+    first = materialise(first, "line-table", dictionary=False)
     near = similar_lines(first.select("seq", "r"))
     verdict = first.join(near.select(F.col("y").alias("seq"), F.lit(True).alias("near")), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     gone = every.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("seq") > F.col("first")))
