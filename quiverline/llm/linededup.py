@@ -6,9 +6,9 @@ similar length, must have room for enough shared tokens behind the first one, an
 words.  Pairs that pass these filters are verified on the whole sets.  A line goes if any earlier line (by doc_id, then
 place) has the same set or a similar one.
 
-Rarity is the number of times that the token's bucket (of 65,536) occurs in the different lines of all documents: a table of
-fixed size whatever the vocabulary, then the token's length, and a total order with the token's hash behind it, so the join is
-exact.  Lines of equal text are one throughout.  In a large group of variants every line would meet every other, so lines first
+Rarity is the number of times that the token's bucket (of 131,072) occurs in the different lines of all documents: a table of
+fixed size whatever the vocabulary, in classes of half a power of two, and a total order with the token's hash behind it, so
+the join is exact.  Lines of equal text are one throughout.  In a large group of variants every line would meet every other, so lines first
 meet the earliest line of each of their rare tokens; only lines that this leaves alone go on to meet all earlier ones.
 
 Defined results: a null or empty text stays as it is; blank lines stay and match nothing; rows with a null doc_id stay
@@ -27,36 +27,34 @@ from pyspark.sql.window import Window
 
 from .common import drop_tables, materialise
 
-BUCKETS = 1 << 16
+_BUCKET_BITS = 17
+BUCKETS = 1 << _BUCKET_BITS
 #: Turns that the tokens are joined in, a power of two.
 TURNS = 2
 #: Words from which on a line has four parity words of 64 bits instead of two.
 LONG = 160
 #: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
-#: Bits of a token's identity that are its length's; of its place in the order, its rarity's class.
-_LENGTH_BITS, _CLASS_BITS = 5, 6
+#: Bits of a token's place in the order that are its rarity's class.
+_CLASS_BITS = 6
 _WORDS = ["w0", "w1", "w2", "w3"]
 
 
 def _set(low: Column) -> Column:
-    """The different tokens of a lower-cased line, which stand between white space: longs of 63 bits, a longer word's below a
-    shorter one's, then by hash."""
-    most = (1 << _LENGTH_BITS) - 1
+    """The different tokens of a lower-cased line, which stand between white space: hashes of 63 bits."""
 
     def token(t: Column) -> Column:
-        short = F.lit(most) - F.least(F.octet_length(t), F.lit(most))
-        return F.shiftleft(short.cast("long"), 63 - _LENGTH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 1 + _LENGTH_BITS))
+        return F.shiftrightunsigned(F.xxhash64(t), 1)
 
     odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
     words = F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), " ")
-    # between blanks that follow each other stands nothing, whose length no token has
+    # between blanks that follow each other stands nothing
     return F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))
 
 
 def _bucket(token: Column) -> Column:
-    """0 to 65,535, from the highest bits of the token's hash."""
-    return F.shiftrightunsigned(token, 63 - _LENGTH_BITS - 16).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    """0 to BUCKETS - 1, from the token's highest bits."""
+    return F.shiftrightunsigned(token, 63 - _BUCKET_BITS).cast("int")
 
 
 class _Places:
@@ -97,13 +95,12 @@ def line_table(docs: DataFrame, places: _Places) -> tuple[DataFrame, DataFrame]:
 
 
 def rarity(lines: DataFrame) -> list[int]:
-    """For each bucket: 0, or from four times the mean on, the logarithm of how often its tokens occur in the different lines."""
-    counts = lines.select(F.explode("r").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count().collect()
-    # up to a few times the mean a bucket's count says nothing of its tokens
-    usual = 4 * max(1.0, sum(r["count"] for r in counts) / BUCKETS)
+    """For each bucket, the class of how often its tokens occur in the different lines: twice the logarithm, to the base of 2."""
+    counts = lines.select(F.explode("r").alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count()
     out = [0] * BUCKETS
-    for r in counts:
-        out[r["b"]] = int(r["count"] / usual).bit_length()
+    # a row for each bucket at most
+    for r in counts.select("b", F.least(F.floor(2 * F.log2("count")), F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("c")).collect():
+        out[r["b"]] = r["c"]
     return out
 
 
@@ -186,7 +183,7 @@ def _pairs(heads: DataFrame, turn: int) -> DataFrame:
     # null, and so replaced, where a line has two words only
     four = _apart([(F.col(f"s{w}"), F.col(f"l{w}")) for w in _WORDS])
     alike = F.coalesce(four, _apart(list(zip(_folded("s"), _folded("l"))))) * 9 <= sn + ln
-    met = s.join(l, "token").where((sn * 5 >= ln * 4) & first & room & alone & alike)
+    met = s.join(l, "token").where((sn * 5 >= ln * 4) & first & alike & alone & room)
     return met.select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
 
 
