@@ -59,7 +59,3 @@ DISTANCE = {Metric.L2: l2, Metric.COSINE: cosine, Metric.IP: inner_product, Metr
 def distance(metric: Metric, a: Column, b: Column) -> Column:
     return DISTANCE[metric](a, b)
 
-
-def rank_key(metric: Metric, a: Column, b: Column) -> Column:
-    """What orders like the distance and costs least: the square for L2."""
-    return l2_squared(a, b) if metric == Metric.L2 else distance(metric, a, b)

@@ -2,7 +2,7 @@
 
 Rows are dealt into parts of bounded size, each part gets a graph of its own, and a query searches every part and merges
 the k best.  A built index is a DataFrame of `(part, graph)`, a graph being one binary value, so it is saved, read and
-searched like any table, and parts are rebuilt or searched apart.
+searched like any table, and parts are rebuilt or searched apart.  Rows that go after the build are passed over by the search.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..types import Metric
-from .topk import DIGITS, FOUND, query_blocks, ranked
+from . import topk
+from .topk import DIGITS, FOUND, ranked
 
 #: Rows of a part.
 PART_ROWS = 20_000
@@ -83,17 +84,26 @@ class Graph:
                 g.layers.append({int(a): part.tolist() for a, part in zip(z[f"n{l}"], np.split(z[f"t{l}"], ends[:-1]))})
         return g
 
-    def search(self, q: np.ndarray, k: int, width: int) -> list[tuple[float, int]]:
-        """(distance, id) of the nearest found, nearest first."""
+    def search(self, q: np.ndarray, k: int, width: int, gone: frozenset[int] = frozenset()) -> list[tuple[float, int]]:
+        """(distance, id) of the nearest found, nearest first; nodes that are `gone` lead on, but are not found.
+
+        The beam widens until k are found that are not gone, or it holds the whole graph.
+        """
         if not len(self.ids):
             return []
         at = [self.entry]
         for layer in range(len(self.layers) - 1, 0, -1):
             at = [self.beam(q, at, 1, layer)[0][1]]
-        return [(a, int(self.ids[n])) for a, n in self.beam(q, at, max(width, k), 0)][:k]
+        width = max(width, k)
+        while True:
+            found = [(a, int(self.ids[n])) for a, n in self.beam(q, at, width, 0)]
+            left = [x for x in found if x[1] not in gone]
+            if len(left) >= k or len(left) == len(found) or width >= len(self.ids):
+                return left[:k]
+            width *= 2
 
 
-def small_world(ids: np.ndarray, x: np.ndarray, metric: Metric, m: int = 16, ef: int = 200, seed: int = 42) -> Graph:
+def small_world(ids: np.ndarray, x: np.ndarray, metric: Metric, m: int = 16, ef: int = 200, seed: int = 20) -> Graph:
     """Layered graph: nodes rise to a layer with geometric chance and link to their m nearest found, 2m on the ground."""
     m = min(max(m, 2), 1024)
     g, rng = Graph(ids, x, metric), np.random.default_rng(seed)
@@ -137,7 +147,7 @@ def robust_prune(g: Graph, n: int, nodes: list[int], alpha: float, r: int) -> li
     return kept
 
 
-def pruned_flat(ids: np.ndarray, x: np.ndarray, metric: Metric, r: int = 32, l: int = 100, alpha: float = 1.2, seed: int = 777) -> Graph:
+def pruned_flat(ids: np.ndarray, x: np.ndarray, metric: Metric, r: int = 32, l: int = 100, alpha: float = 1.2, seed: int = 31) -> Graph:
     """Flat graph searched from the row nearest to the mean; each node's links are pruned for spread, twice over."""
     l, alpha = max(l, r), alpha if alpha >= 1 else 1.2
     g = Graph(ids, x, metric)
@@ -168,16 +178,15 @@ def pruned_flat(ids: np.ndarray, x: np.ndarray, metric: Metric, r: int = 32, l:
 
 
 def build(rows: DataFrame, make, part_rows: int = PART_ROWS) -> DataFrame:
-    """(part, graph) of parts of about `part_rows` rows; `make(ids, x)` builds one."""
+    """(part, parts, graph): one of `parts` parts of about `part_rows` rows; `make(ids, x)` builds one."""
     parts = max(1, -(-rows.count() // part_rows))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         g = make(pdf["id"].to_numpy(), kernels.matrix(pdf["vector"]))
-        return pd.DataFrame({"part": [key[0]], "graph": [g.to_bytes()]})
+        return pd.DataFrame({"part": [key[0]], "parts": [parts], "graph": [g.to_bytes()]})
 
-    dealt = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    return dealt.groupBy("part").applyInPandas(run, "part int, graph binary")
+    return topk.dealt(rows.select("id", "vector"), "id", parts, "part").groupBy("part").applyInPandas(run, "part int, parts int, graph binary")
 
 
 def build_small_world(rows: DataFrame, metric: Metric = Metric.L2, m: int = 16, ef_construction: int = 200, part_rows: int = PART_ROWS) -> DataFrame:
@@ -188,19 +197,49 @@ def build_pruned_flat(rows: DataFrame, metric: Metric = Metric.L2, r: int = 32,
     return build(rows, lambda ids, x: pruned_flat(ids, x, metric, r, l, alpha), part_rows)
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, width: int = 50) -> DataFrame:
-    """Every part is searched with a beam of max(width, k); the k best of all parts are returned."""
-    out = None
-    for block in query_blocks(queries):
+def search(queries: DataFrame, index: DataFrame, k: int, width: int = 50, gone: DataFrame | None = None) -> DataFrame:
+    """Every part is searched with a beam of max(width, k); the k best of all parts are returned.
+
+    `gone(id)` are rows that are no longer there; each part gets those that were dealt to it.  One block of queries goes with the
+    tasks; more are dealt to blocks, and each pair of a block and a part is a task.
+    """
+    queries = queries.select("query_id", "query")
+    first = index.select("parts").limit(1).collect()
+    q_blocks, n = topk.blocks(queries, "query")
+    if not n or not first or k <= 0:
+        return ranked(queries.sparkSession.createDataFrame([], FOUND), k).select("query_id", "rank", "id", "distance")
+    parts = first[0]["parts"]
+    none = F.array().cast("array<long>")
+    index = index.select("part", "graph")
+    if gone is None:
+        index = index.withColumn("gone", none)
+    else:
+        lists = topk.dealt(gone.select("id"), "id", parts, "part").groupBy("part").agg(F.collect_set("id").alias("gone"))
+        index = index.join(lists, "part", "left").withColumn("gone", F.coalesce("gone", none))
+
+    def found_in(raw: bytes, missing: np.ndarray, q: np.ndarray, qid: np.ndarray) -> pd.DataFrame:
+        g, away = Graph.from_bytes(raw), frozenset(int(i) for i in missing)
+        got = [(i, x, round(a, DIGITS)) for i, v in zip(qid, q) for a, x in g.search(v, k, width, away)]
+        return pd.DataFrame(got, columns=["query_id", "id", "distance"])
+
+    if q_blocks <= 1:
+        block = queries.toPandas()
         q, qid = kernels.matrix(block["query"]), block["query_id"].to_numpy()
 
-        def run(batches: Iterator[pd.DataFrame], q: np.ndarray = q, qid: np.ndarray = qid) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for raw in b["graph"]:
-                    g = Graph.from_bytes(raw)
-                    got = [(i, n, round(a, DIGITS)) for i, v in zip(qid, q) for a, n in g.search(v, k, width)] if k > 0 else []
-                    yield pd.DataFrame(got, columns=["query_id", "id", "distance"])
-
-        found = index.select("graph").mapInPandas(run, FOUND)
-        out = found if out is None else out.unionByName(found)
-    return ranked(queries.sparkSession.createDataFrame([], FOUND) if out is None else out, k).select("query_id", "rank", "id", "distance")
+                for raw, missing in zip(b["graph"], b["gone"]):
+                    yield found_in(raw, missing, q, qid)
+
+        found = index.select("graph", "gone").mapInPandas(run, FOUND)
+    else:
+
+        def meet(ask: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            if not len(ask) or not len(x):
+                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return found_in(x["graph"].iloc[0], x["gone"].iloc[0], kernels.matrix(ask["query"]), ask["query_id"].to_numpy())
+
+        left = topk.in_each(topk.dealt(queries, "query_id", q_blocks, "q_block"), parts, "part")
+        right = topk.in_each(index, q_blocks, "q_block")
+        found = left.groupBy("q_block", "part").cogroup(right.groupBy("q_block", "part")).applyInPandas(meet, FOUND)
+    return ranked(found, k).select("query_id", "rank", "id", "distance")

@@ -51,28 +51,34 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
 Score = Callable[[int, np.ndarray, pd.DataFrame], np.ndarray]
 
 
-def probe_join(asked: DataFrame, rows: DataFrame, k: int, score: Score, columns: list[str]) -> DataFrame:
-    """(query_id, id, distance): the k best of each query in each dealt part of its cells.
+def probe_join(asked: DataFrame, rows: DataFrame, k: int, score: Score, columns: list[str], exact: Metric | None = None) -> DataFrame:
+    """(query_id, id, distance[, exact]): the k best of each query in each dealt part of its cells.
 
-    `score(cell, queries, rows of the cell)` gives distances.
+    `score(cell, queries, rows of the cell)` gives distances.  With a metric for `exact`, the distances of the k best by it, from
+    the vectors that are there anyway.
     """
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("spread"))  # a row a cell
     left = asked.join(F.broadcast(sizes), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
     right = rows.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("spread")).cast("int"))
+    schema = FOUND + (", exact double" if exact is not None else "")
 
     def meet(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        ids, got = x["id"].to_numpy(), []
-        step = max(1, 4_000_000 // len(x))
-        for lo in range(0, len(q), step):
+        got = [pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})]
+        ids = x["id"].to_numpy()
+        vectors = kernels.matrix(x["vector"]) if exact is not None and len(x) else None
+        step = max(1, 4_000_000 // max(1, len(x)))
+        for lo in range(0, len(q) if len(x) else 0, step):
             part = q.iloc[lo : lo + step]
-            d = np.round(score(int(key[0]), kernels.matrix(part["query"]), x), DIGITS)
+            asking = kernels.matrix(part["query"])
+            d = np.round(score(int(key[0]), asking, x), DIGITS)
             i, j = kernels.top_k(d, ids, k)
-            got.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "id": ids[j], "distance": d[i, j]}))
-        return pd.concat(got)
+            new = pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "id": ids[j], "distance": d[i, j]})
+            if vectors is not None:
+                new["exact"] = np.concatenate([np.round(kernels.distances(exact, asking[n : n + 1], vectors[j[i == n]])[0], DIGITS) for n in np.unique(i)]) if len(i) else 0.0
+            got.append(new)
+        return pd.concat(got[1:] or got)
 
-    return left.select("cell", "salt", "query_id", "query").groupBy("cell", "salt").cogroup(right.select("cell", "salt", *columns).groupBy("cell", "salt")).applyInPandas(meet, FOUND)
+    return left.select("cell", "salt", "query_id", "query").groupBy("cell", "salt").cogroup(right.select("cell", "salt", *columns).groupBy("cell", "salt")).applyInPandas(meet, schema)
 
 
 @dataclass
@@ -123,15 +129,27 @@ class ProductQuantizer:
         codes, sub = 1 << nbits, dim // m
         order = [F.col("id")] if seeds == "lowest" else [F.xxhash64("id", F.lit(m)), F.col("id")]
         limit = codes if seeds == "lowest" and not rounds else TRAIN_ROWS
-        x = kernels.matrix(rows.select("id", "vector").orderBy(*order).limit(limit).toPandas()["vector"])
-        if len(x) < codes:
-            raise Invalid(f"{codes} codes need as many rows; there are {len(x)}")
-        residual = stretched(x, x - coarse[kmeans.nearest(x, coarse)], eta)
-        books = []
-        for s in range(m):
-            part = np.round(residual[:, s * sub : (s + 1) * sub], kmeans.DIGITS)
-            books.append(kmeans.local_lloyd(part, part[:codes].copy(), rounds))
-        return cls(coarse, np.stack(books), eta)
+        sample = rows.select("id", "vector").orderBy(*order).limit(limit)
+
+        def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = kernels.matrix(b["vector"], dim)
+                residual = np.round(stretched(x, x - coarse[kmeans.nearest(x, coarse)], eta), kmeans.DIGITS)
+                for s in range(m):
+                    yield pd.DataFrame({"sub": s, "id": b["id"], "part": list(residual[:, s * sub : (s + 1) * sub])})
+
+        def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            x = kernels.matrix(pdf.sort_values("id", kind="stable")["part"])
+            if len(x) < codes:
+                return pd.DataFrame({"sub": [key[0]], "rows": [len(x)], "book": [None]})
+            first = x[:codes].copy() if seeds == "lowest" else kmeans.spread_rows(x, codes, int(key[0]))
+            return pd.DataFrame({"sub": [key[0]], "rows": [len(x)], "book": [kmeans.local_lloyd(x, first, rounds).ravel()]})
+
+        # a task for each subspace, of at most TRAIN_ROWS rows; a codebook for each comes back
+        got = sample.mapInPandas(parts, "sub int, id long, part array<double>").groupBy("sub").applyInPandas(fit, "sub int, rows long, book array<double>").collect()
+        if any(r["book"] is None for r in got):
+            raise Invalid(f"{codes} codes need as many rows; there are {got[0]['rows']}")
+        return cls(coarse, np.stack([np.array(r["book"]).reshape(codes, sub) for r in sorted(got, key=lambda r: r["sub"])]), eta)
 
     def _codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         sub = self.codebooks.shape[2]
@@ -169,13 +187,6 @@ class ProductQuantizer:
     def search_reranked(self, queries: DataFrame, encoded: DataFrame, k: int, metric: Metric = Metric.L2, nprobe: int = 32, rerank_k: int = 100) -> DataFrame:
         """The best max(rerank_k, k) by codes, ranked again by their exact distance; `encoded` holds the vectors."""
         m = max(rerank_k if rerank_k > 0 else 100, k)
-        found = ranked(probe_join(probes(queries, self.centroids, nprobe), encoded, m, self.approximate, ["id", "codes"]), m)
-        return ranked(exact(found.select("query_id", "id"), queries, encoded, metric), k).select("query_id", "rank", "id", "distance")
-
-
-def exact(candidates: DataFrame, queries: DataFrame, rows: DataFrame, metric: Metric) -> DataFrame:
-    """(query_id, id, distance) of candidate pairs, in built-in expressions."""
-    from ..functions import metrics
-
-    pairs = candidates.join(rows.select("id", "vector"), "id").join(queries.select("query_id", "query"), "query_id")
-    return pairs.select("query_id", "id", F.round(metrics.distance(metric, F.col("query"), F.col("vector")), DIGITS).alias("distance"))
+        found = probe_join(probes(queries, self.centroids, nprobe), encoded, m, self.approximate, ["id", "codes", "vector"], exact=metric)
+        best = ranked(found, m).select("query_id", "id", F.col("exact").alias("distance"))
+        return ranked(best, k).select("query_id", "rank", "id", "distance")

@@ -32,11 +32,16 @@ def first_rows(rows: DataFrame, k: int) -> np.ndarray:
     return np.array([r["vector"] for r in got], dtype=np.float64)
 
 
-def plus_plus(rows: DataFrame, k: int, seed: int = 1234) -> np.ndarray:
+def plus_plus(rows: DataFrame, k: int, seed: int = 90) -> np.ndarray:
     """k-means++ on a hash sample of at most `SEED_SAMPLE` rows."""
     x = kernels.matrix(rows.select("id", "vector").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(SEED_SAMPLE, k)).toPandas()["vector"])
     if len(x) < k:
         raise Invalid(f"{k} centroids need as many rows; there are {len(x)}")
+    return spread_rows(x, k, seed)
+
+
+def spread_rows(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows drawn one by one with a chance in proportion to the squared distance from those that are drawn."""
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
     d = kernels.l2_squared(x, x[chosen[:1]])[:, 0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..types import Metric
-from .inverted import exact
+from .inverted import probe_join
 from .topk import ranked
 
 # FNV-1a, 32 bits.
@@ -31,7 +31,7 @@ class Lsh:
     metric: Metric
 
     @classmethod
-    def gaussian(cls, dim: int, metric: Metric = Metric.L2, tables: int = 10, functions: int = 8, width: float = 10.0, seed: int = 42) -> Lsh:
+    def gaussian(cls, dim: int, metric: Metric = Metric.L2, tables: int = 10, functions: int = 8, width: float = 10.0, seed: int = 58) -> Lsh:
         rng = np.random.default_rng(seed)
         planes = rng.standard_normal((tables, functions, dim))
         if metric not in (Metric.L2, Metric.L1):
@@ -62,21 +62,28 @@ class Lsh:
             h = ((h ^ (value[:, :, f] & 0xFFFFFFFF).astype(np.uint64)) * np.uint64(FNV_PRIME)) & np.uint64(0xFFFFFFFF)
         return (h % np.uint64(self.buckets)).astype(np.int64)
 
-    def postings(self, rows: DataFrame, vector: str = "vector", id: str = "id") -> DataFrame:
-        """(id, tbl, bucket), a row for each table."""
+    def _hashed(self, rows: DataFrame, id: str, vector: str) -> DataFrame:
+        """(id, vector, tbl, bucket), a row for each table."""
 
         @F.pandas_udf("array<long>")
         def hashed(v: pd.Series) -> pd.Series:
             return pd.Series(list(self.hash(kernels.matrix(v, self.planes.shape[2])))) if len(v) else pd.Series([], dtype=object)
 
-        return rows.select(id, F.posexplode(hashed(vector)).alias("tbl", "bucket"))
+        return rows.select(id, vector, F.posexplode(hashed(vector)).alias("tbl", "bucket"))
 
-    def candidates(self, queries: DataFrame, postings: DataFrame) -> DataFrame:
-        """Different (query_id, id) that share a bucket; a bucket joins with the few queries in it."""
-        asked = self.postings(queries, "query", "query_id")
-        return asked.join(postings, ["tbl", "bucket"]).select("query_id", "id").distinct()
+    def postings(self, rows: DataFrame, keep_vector: bool = False) -> DataFrame:
+        """(id, tbl, bucket[, vector])."""
+        return self._hashed(rows, "id", "vector").select("id", "tbl", "bucket", *["vector"] * keep_vector)
 
-    def search(self, queries: DataFrame, rows: DataFrame, k: int, postings: DataFrame | None = None) -> DataFrame:
-        """All candidates are ranked by their exact distance."""
-        found = self.candidates(queries, self.postings(rows) if postings is None else postings)
-        return ranked(exact(found, queries, rows, self.metric), k).select("query_id", "rank", "id", "distance")
+    def search(self, queries: DataFrame, k: int, postings: DataFrame) -> DataFrame:
+        """All rows that share a bucket with a query, ranked by their exact distance; `postings` hold the vectors.
+
+        A bucket's queries and rows meet in its tasks, large buckets in several, which return the k best of each query: the best of
+        all candidates are among those, so neither pairs nor vectors move again.
+        """
+        cell = (F.col("tbl") * self.buckets + F.col("bucket")).cast("int").alias("cell")
+        asked = self._hashed(queries, "query_id", "query").select("query_id", "query", cell)
+        score = lambda _cell, q, x: kernels.distances(self.metric, q, kernels.matrix(x["vector"]))
+        found = probe_join(asked, postings.select("id", "vector", cell), k, score, ["id", "vector"])
+        best = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+        return ranked(best, k).select("query_id", "rank", "id", "distance")

@@ -18,8 +18,8 @@ from ..functions import kernels, metrics
 from ..types import Metric
 
 DIGITS = 6
-#: Numbers that a query block holds at most; more queries meet the rows in several blocks.
-QUERY_FLOATS = 4_000_000
+#: Numbers that a block of queries, or of the rows that several such blocks meet, holds at most.
+BLOCK_FLOATS = 4_000_000
 #: Distances computed at once.
 _CELLS = 4_000_000
 FOUND = "query_id long, id long, distance double"
@@ -33,55 +33,87 @@ def ranked(found: DataFrame, k: int, by: str = "distance") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 0))
 
 
+def random_query(dim: int, seed: int | None = None) -> list[float]:
+    """A unit vector of a random direction."""
+    x = np.random.default_rng(seed).standard_normal(dim)
+    return (x / max(float(np.linalg.norm(x)), 1e-9)).tolist()
+
+
 def knn_sql(queries: DataFrame, rows: DataFrame, k: int, metric: Metric = Metric.L2) -> DataFrame:
-    """The readable form, in built-in expressions; the queries are the broadcast side, so they must be few."""
+    """The readable form, in built-in expressions; the queries are the broadcast side, so more than a block of them take the fast form."""
+    if blocks(queries, "query")[0] > 1:
+        return knn(queries, rows, k, metric)
     pairs = rows.select("id", "vector").join(F.broadcast(queries.select("query_id", "query")))
     d = F.round(metrics.distance(metric, F.col("query"), F.col("vector")), DIGITS)
     return ranked(pairs.select("query_id", "id", d.alias("distance")), k).select("query_id", "rank", "id", "distance")
 
 
-def query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """The queries in blocks of bounded size, one at a time on the driver."""
-    first = queries.select(F.size("query").alias("d")).limit(1).collect()
-    per = max(1, QUERY_FLOATS // max(1, first[0]["d"] if first else 1))
-    n = queries.count()
-    if not n:
-        return
-    if n <= per:
-        yield queries.select("query_id", "query").toPandas()
-        return
-    parts = -(-n // per) * 2
-    for p in range(parts):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "query").toPandas()
-        if len(block):
-            yield block
+def blocks(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """(blocks of at most `BLOCK_FLOATS` numbers or so that the rows make, the rows' number)."""
+    n, d = rows.agg(F.count("*"), F.max(F.size(vector))).first()
+    return -(-n * max(1, d or 1) // BLOCK_FLOATS), n
+
+
+def dealt(rows: DataFrame, id: str, n: int, name: str) -> DataFrame:
+    """`rows` with the number of the block that the id falls to."""
+    return rows.withColumn(name, F.pmod(F.xxhash64(id), F.lit(max(1, n))).cast("int"))
+
+
+def in_each(rows: DataFrame, n: int, name: str) -> DataFrame:
+    """A copy of `rows` for each of n blocks."""
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1))))
 
 
 def scan(queries: DataFrame, rows: DataFrame, k: int, score: Callable[[np.ndarray, pd.DataFrame], np.ndarray], columns: list[str]) -> DataFrame:
-    """Blocks of queries against all rows: each task keeps the k best of its rows for each query, and only those move.
+    """Queries against all rows: each task keeps the k best of its rows for each query, and only those move.
 
-    `score(queries, batch)` gives the distances of a batch with `columns`, among them `id`.
+    `score(queries, batch)` gives the distances of a batch with `columns`, `id` and a vector.  One block of queries goes with the tasks,
+    which pass over the rows once.  More of them are dealt to blocks, as are the rows, and each pair of blocks is a task; neither
+    side is gathered.
     """
-    out = None
-    for block in query_blocks(queries):
+
+    def best(q: np.ndarray, qid: np.ndarray, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        step = max(1, _CELLS // max(1, len(q)))
+        for lo in range(0, len(batch), step):
+            part = batch.iloc[lo : lo + step]
+            d, ids = np.round(score(q, part), DIGITS), part["id"].to_numpy()
+            i, j = kernels.top_k(d, ids, k)
+            yield pd.DataFrame({"query_id": qid[i], "id": ids[j], "distance": d[i, j]})
+
+    def merged(held: pd.DataFrame | None, new: pd.DataFrame) -> pd.DataFrame:
+        return new if held is None else pd.concat([held, new]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+
+    queries, rows = queries.select("query_id", "query"), rows.select(*columns)
+    q_blocks, n = blocks(queries, "query")
+    if not n:
+        return ranked(rows.sparkSession.createDataFrame([], FOUND), k).select("query_id", "rank", "id", "distance")
+    if q_blocks <= 1:
+        block = queries.toPandas()
         q, qid = kernels.matrix(block["query"]), block["query_id"].to_numpy()
 
-        def run(batches: Iterator[pd.DataFrame], q: np.ndarray = q, qid: np.ndarray = qid) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: pd.DataFrame | None = None
-            step = max(1, _CELLS // max(1, len(q)))
             for b in batches:
-                for lo in range(0, len(b), step):
-                    part = b.iloc[lo : lo + step]
-                    d, ids = np.round(score(q, part), DIGITS), part["id"].to_numpy()
-                    i, j = kernels.top_k(d, ids, k)
-                    new = pd.DataFrame({"query_id": qid[i], "id": ids[j], "distance": d[i, j]})
-                    held = new if held is None else pd.concat([held, new]).sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
+                for new in best(q, qid, b):
+                    held = merged(held, new)
             if held is not None:
                 yield held
 
-        found = rows.select(*columns).mapInPandas(run, FOUND)
-        out = found if out is None else out.unionByName(found)
-    return ranked(rows.sparkSession.createDataFrame([], FOUND) if out is None else out, k).select("query_id", "rank", "id", "distance")
+        found = rows.mapInPandas(run, FOUND)
+    else:
+        r_blocks = blocks(rows, next(c for c in columns if c != "id"))[0]
+
+        def meet(ask: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            held: pd.DataFrame | None = None
+            if len(ask):
+                for new in best(kernels.matrix(ask["query"]), ask["query_id"].to_numpy(), x):
+                    held = merged(held, new)
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []}) if held is None else held
+
+        left = in_each(dealt(queries, "query_id", q_blocks, "q_block"), r_blocks, "r_block")
+        right = in_each(dealt(rows, "id", r_blocks, "r_block"), q_blocks, "q_block")
+        found = left.groupBy("q_block", "r_block").cogroup(right.groupBy("q_block", "r_block")).applyInPandas(meet, FOUND)
+    return ranked(found, k).select("query_id", "rank", "id", "distance")
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, metric: Metric = Metric.L2) -> DataFrame:

@@ -6,7 +6,6 @@ of the smallest id.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,11 +20,11 @@ from ..operators.collection import Collection, DataType, Field, Schema
 from ..operators.inverted import stretched
 from ..sources.store import VectorTable
 from ..streaming import ingest
-from ..types import Index, Metric, VectorError
+from ..types import Index, Invalid, Metric, VectorError
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
-NLIST, NPROBE = 16, 4
+NLIST, NPROBE, TRAINED_PROBES = 16, 4, 12
 PQ_M, PQ_BITS = 8, 4
 ETA, RERANK = 0.2, 50
 LRU_TEXTS, LRU_USERS = 100, 40
@@ -58,7 +57,9 @@ def _out(found: DataFrame) -> DataFrame:
 
 def _place(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quiverline-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise Invalid("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -220,13 +221,33 @@ def aq_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained codebooks and default probing, against the exact search."""
+    """Trained codebooks, three quarters of the cells and a tenth of the rows reranked (200 at least), against the exact search."""
     rows = _rows(spark, sf_dir)
     aq = inverted.ProductQuantizer.train(rows, NLIST, PQ_M, PQ_BITS, rounds=10, eta=ETA)
-    found = aq.search_reranked(_asks(rows), aq.encode(rows, keep_vector=True), K, Metric.L2, 8, 100)
+    found = aq.search_reranked(_asks(rows), aq.encode(rows, keep_vector=True), K, Metric.L2, TRAINED_PROBES, max(200, rows.count() // 10))
     return topk.recall(found, topk.knn(_asks(rows), rows, K))
 
 
+def pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained codebooks of 8 bits, ranked by codes alone, against the exact search."""
+    rows = _rows(spark, sf_dir)
+    pq = inverted.ProductQuantizer.train(rows, NLIST, 2 * PQ_M, 8, rounds=10)
+    return topk.recall(pq.search(_asks(rows), pq.encode(rows), K, TRAINED_PROBES), topk.knn(_asks(rows), rows, K))
+
+
+def sq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    low, high = sq.ranges(rows)
+    return topk.recall(sq.search(_asks(rows), sq.encode(rows, low, high), low, high, K), topk.knn(_asks(rows), rows, K))
+
+
+def ivf_trained_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means++ and Lloyd until nothing moves, three quarters of the cells probed, against the exact search."""
+    rows = _rows(spark, sf_dir)
+    ivf = inverted.InvertedFile.train(rows, NLIST)
+    return topk.recall(ivf.search(_asks(rows), ivf.encode(rows), K, Metric.L2, TRAINED_PROBES), topk.knn(_asks(rows), rows, K))
+
+
 # -- hashing ----------------------------------------------------------------------------------------------------------
 
 
@@ -241,7 +262,15 @@ def lsh_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lsh_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return _out(_hash(rows).search(_asks(rows), rows, K))
+    index = _hash(rows)
+    return _out(index.search(_asks(rows), K, index.postings(rows, keep_vector=True)))
+
+
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random planes and buckets wide enough for this recall, against the exact search."""
+    rows = _rows(spark, sf_dir)
+    index = lsh.Lsh.gaussian(len(_first(rows)), Metric.L2, tables=16, functions=4, width=4.0)
+    return topk.recall(index.search(_asks(rows), K, index.postings(rows, keep_vector=True)), topk.knn(_asks(rows), rows, K))
 
 
 # -- graphs -----------------------------------------------------------------------------------------------------------
@@ -349,12 +378,13 @@ def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(t.live())
 
 
-def _collection(spark: SparkSession, sf_dir: str) -> Collection:
+def _collection(spark: SparkSession, sf_dir: str, auto: bool = False) -> Collection:
+    """Keys are the ids and one; `auto` keys come to the same, as the file is in order of the ids."""
     rows = _rows(spark, sf_dir)
     dim = len(_first(rows))
-    schema = Schema((Field("pk", DataType.INT64, is_primary=True, auto_id=True), Field("name", DataType.VARCHAR, max_length=32), Field("grp", DataType.INT32), Field("vec", DataType.FLOAT_VECTOR, dim=dim)))
+    schema = Schema((Field("pk", DataType.INT64, is_primary=True, auto_id=auto), Field("name", DataType.VARCHAR, max_length=32), Field("grp", DataType.INT32), Field("vec", DataType.FLOAT_VECTOR, dim=dim)))
     c = Collection.create(spark, _place(spark), schema, Metric.COSINE, Index.LINEAR)
-    c.insert_frame(rows.select((F.col("id") + 1).alias("pk"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), F.col("label").cast("int").alias("grp"), F.col("vector").alias("vec")))
+    c.insert_frame(rows.select(*[(F.col("id") + 1).alias("pk")] * (not auto), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), F.col("label").cast("int").alias("grp"), F.col("vector").alias("vec")))
     return c
 
 
@@ -372,11 +402,30 @@ def collection_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_auto_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys follow on from the largest."""
-    c = _collection(spark, sf_dir)
+    c = _collection(spark, sf_dir, auto=True)
     c.insert([{"name": "a", "grp": 7, "vec": [1.0] * c.table.dim}, {"name": "b", "vec": [0.5] * c.table.dim}])
     return c.rows().select("pk", "name", "grp")
 
 
+# -- indexes that follow their tables ---------------------------------------------------------------------------------
+
+
+def _after_changes(index: Index, params: dict) -> Query:
+    """Trained on four fifths of the rows; then the rest is inserted, a seventh deleted and an eleventh updated, without another
+    training.  Everything is probed, so the result is that of an exact search (of an exact search of the codes, for SQ)."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _rows(spark, sf_dir)
+        t = VectorTable.from_rows(spark, _place(spark), rows.where("id % 5 <> 0"), Metric.L2, index, params)
+        access = t.access().train()
+        t.insert_rows(rows.where("id % 5 = 0"))
+        t.change_rows(rows.where("id % 7 = 0").select("id"), "D")
+        t.change_rows(rows.where("id % 11 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector")), "U")
+        return _out(access.search(_asks(rows), K, nprobe=NLIST, width=1000))
+
+    return query
+
+
 # -- cache ------------------------------------------------------------------------------------------------------------
 
 
@@ -459,7 +508,14 @@ QUERIES: dict[str, Query] = {
         hnsw_recall, vamana_recall, crud_insert, crud_delete, crud_update, crud_get_count, browse_page, snapshot_roundtrip, txn_commit, txn_rollback,
         collection_search, collection_delete, collection_auto_id, cache_hits_texts, cache_hits_users, cache_lru_state, cache_stats, embed_dedupe,
         batch_ingest_rejects, stream_ingest,
+        lsh_recall, pq_recall, sq_recall, ivf_trained_recall,
     )},
+    "linear_after_changes": _after_changes(Index.LINEAR, {}),
+    "sq_after_changes": _after_changes(Index.SQ, {}),
+    "ivf_after_changes": _after_changes(Index.IVF, {"ivf_nlist": NLIST}),
+    "aq_after_changes": _after_changes(Index.ANISOTROPIC, {"aq_nlist": NLIST, "aq_bits": PQ_BITS, "aq_rerank_k": 100_000}),
+    "hnsw_after_changes": _after_changes(Index.HNSW, {}),
+    "vamana_after_changes": _after_changes(Index.VAMANA, {}),
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------------
@@ -493,6 +549,10 @@ def _knn_sql(m: str, columns: str = "query_id, rank, vec_id, distance") -> str:
     return _top(f"SELECT a.vec_id AS query_id, b.vec_id, round({d}, 6) AS distance, b.label FROM e a, e b", _SIGNS if m == "hamming" else _E, columns)
 
 
+_CHANGED = "l AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN list_transform(v, lambda y: -y) ELSE v END AS v FROM e WHERE vec_id % 7 <> 0)"
+_AFTER = _top("SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.v, b.v), 6) AS distance FROM e a, l b", f"{_E}, {_CHANGED}")
+
+
 def _single_sql(m: str, k: int) -> str:
     d = _DIST[m].format(a="q", b="v")
     return f"WITH {_E}, {_ONE}, d AS (SELECT vec_id, round({d}, 6) AS distance FROM e, one), r AS (SELECT *, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INT) AS rank FROM d) SELECT rank, vec_id, distance FROM r WHERE rank <= {k}"
@@ -502,6 +562,13 @@ _X = "x AS (SELECT vec_id, CAST(i - 1 AS INT) AS pos, v[i] AS x FROM (SELECT vec
 _STATS = f"{_X}, s AS (SELECT pos, min(x) AS vmin, max(x) AS vmax FROM x GROUP BY pos)"
 _CODES = f"{_STATS}, c AS (SELECT vec_id, pos, CASE WHEN vmax - vmin < 1e-10 THEN 128 ELSE CAST(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (x - vmin) / (vmax - vmin))) * 255 + 0.5::DOUBLE) AS INT) END AS code, vmin, vmax FROM x JOIN s USING (pos))"
 _BACK = f"{_CODES}, y AS (SELECT vec_id, pos, vmin + code * ((vmax - vmin) / 255) AS x FROM c)"
+_UNNESTED = "SELECT vec_id, CAST(i - 1 AS INT) AS pos, v[i] AS x FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM {})"
+_SQ_AFTER = _top(
+    "SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.v, b.w), 6) AS distance FROM e a, z b",
+    f"{_E}, {_CHANGED}, s AS (SELECT pos, min(x) AS vmin, max(x) AS vmax FROM ({_UNNESTED.format('e WHERE vec_id % 5 <> 0')}) GROUP BY pos), "
+    f"c AS (SELECT vec_id, pos, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (x - vmin) / (vmax - vmin))) * 255 + 0.5::DOUBLE) AS code, vmin, vmax FROM ({_UNNESTED.format('l')}) JOIN s USING (pos)), "
+    "z AS (SELECT vec_id, list(vmin + code * ((vmax - vmin) / 255) ORDER BY pos) AS w FROM c GROUP BY vec_id)",
+)
 _CELLS = f"cents AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS cell, v AS c FROM (SELECT * FROM e ORDER BY vec_id LIMIT {NLIST}))"
 _NEAR = f"{_CELLS}, near AS (SELECT vec_id, v, cell, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(power(list_distance(v, c), 2), 6), cell) AS r FROM e, cents), cells AS (SELECT * FROM near WHERE r = 1), probes AS (SELECT vec_id AS query_id, v AS q, cell, c FROM near WHERE r <= {NPROBE})"
 _SUB = 64 // PQ_M
@@ -601,4 +668,6 @@ ORACLES: dict[str, str] = {
     "embed_dedupe": "SELECT doc_id, (length(text) % 7 + length(text) % 11 + length(text) % 13 + length(text) % 17)::DOUBLE AS total FROM documents",
     "batch_ingest_rejects": "SELECT -5 AS id, 'neg' AS label, 'bad id' AS reason UNION ALL SELECT 9000000, 'short', 'bad dimension' UNION ALL SELECT 4, 'again', 'repeated id' UNION ALL SELECT vec_id, CAST(label AS VARCHAR), 'repeated id' FROM embeddings WHERE vec_id = 4",
     "stream_ingest": _LIVE,
+    **{f"{m}_after_changes": _AFTER for m in ("linear", "ivf", "aq", "hnsw", "vamana")},
+    "sq_after_changes": _SQ_AFTER,
 }

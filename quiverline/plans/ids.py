@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 def with_ids(rows: DataFrame, first: int, order: str | None = None) -> DataFrame:
     """Adds `id`: first, first + 1, ... in the order of the rows' places, or of a column.
 
-    Rows are numbered within their partitions; only one count a partition is gathered.
+    Rows are numbered within their partitions; only one count a partition is gathered.  Partitions by range are checkpointed, as
+    another pass would draw other bounds.
     """
     if order:
         rows = rows.repartitionByRange(order).sortWithinPartitions(order)
     marked = rows.withColumn("_at", F.monotonically_increasing_id())
+    marked = marked.checkpoint() if order else marked
     part = F.shiftright("_at", 33)
     counts = marked.groupBy(part.alias("_part")).count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))

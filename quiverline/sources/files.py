@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from typing import Any
+
 from pyspark.sql import SparkSession
 
+from ..types import Corrupt
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -41,3 +47,33 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
+
+
+def save_checked(spark: SparkSession, path: str, value: Any) -> None:
+    """`value` as JSON, with its checksum, in place of what was there."""
+    body = json.dumps(value, sort_keys=True)
+    replace_text(spark, path, json.dumps({"body": body, "crc32": zlib.crc32(body.encode())}))
+
+
+def load_checked(spark: SparkSession, path: str) -> Any:
+    """What `save_checked` saved, or `Corrupt`."""
+    try:
+        outer = json.loads(read_text(spark, path))
+        if zlib.crc32(outer["body"].encode()) != outer["crc32"]:
+            raise Corrupt(f"the checksum of {path} is wrong")
+        return json.loads(outer["body"])
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise Corrupt(f"{path} can't be read") from e
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of each file below a folder, by its path there; hidden and marker files aside."""
+    p, fs = _path(spark, path)
+    top, out = fs.makeQualified(p).toString(), {}
+    found = fs.listFiles(p, True)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().toString()[len(top) + 1 :]
+        if not name.rpartition("/")[2].startswith(("_", ".")):
+            out[name] = f.getLen()
+    return out

@@ -1,22 +1,22 @@
 """Mutable vector table over Parquet: an append-only operation log, and snapshots that a manifest names.
 
 A commit writes one batch of operations and then replaces the manifest, so it is seen whole or not at all.  The live view is
-the last operation of each id; the label is that of its last insert.  Writers are one at a time (a commit that finds
-another manifest than it began with fails); readers see the manifest they opened.
+the last operation of each id; the label is that of its last insert.  Batches that insert ids never seen before are marked as
+such, so that only what later batches touch is aggregated and the rest is read as it stands.  Writers are one at a time (a
+commit that finds another manifest than it began with fails); readers see the manifest they opened, whose batches
+outlive one compaction.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-import zlib
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..types import VECTOR, VERSION, AlreadyExists, Corrupt, Invalid, Index, Metric, NotFound, VectorError, WrongVersion, cut_label
+from ..types import VECTOR, VERSION, AlreadyExists, Invalid, Index, Metric, NotFound, VectorError, WrongVersion, cut_label
 from . import files
 
 FORMAT = 1
@@ -39,7 +39,7 @@ class VectorTable:
             raise Invalid("a vector needs a component")
         if files.exists(spark, f"{path}/manifest.json"):
             raise AlreadyExists(f"{path} holds a table")
-        table = cls(spark, path, {"format": FORMAT, "version": VERSION, "dim": dim, "metric": int(metric), "index": int(index), "params": params or {}, "batches": [], "next_seq": 0, "next_id": 1, "generation": 0})
+        table = cls(spark, path, {"format": FORMAT, "version": VERSION, "dim": dim, "metric": int(metric), "index": int(index), "params": params or {}, "batches": [], "fresh": [], "retired": [], "compacted": None, "streams": {}, "next_seq": 0, "next_id": 1, "generation": 0})
         table._publish(table.manifest)
         return table
 
@@ -58,21 +58,13 @@ class VectorTable:
     @staticmethod
     def read_manifest(spark: SparkSession, path: str) -> dict:
         """The manifest alone, checked; this is also how to describe a table without reading it."""
-        try:
-            outer = json.loads(files.read_text(spark, f"{path}/manifest.json"))
-            body = outer["body"]
-            if zlib.crc32(body.encode()) != outer["crc32"]:
-                raise Corrupt("the manifest's checksum is wrong")
-            inner = json.loads(body)
-        except (ValueError, KeyError, TypeError) as e:
-            raise Corrupt(f"the manifest of {path} can't be read") from e
+        inner = files.load_checked(spark, f"{path}/manifest.json")
         if inner.get("format") != FORMAT:
             raise WrongVersion(f"format {inner.get('format')}")
         return inner
 
     def _publish(self, manifest: dict) -> None:
-        body = json.dumps(manifest, sort_keys=True)
-        files.replace_text(self.spark, f"{self.path}/manifest.json", json.dumps({"body": body, "crc32": zlib.crc32(body.encode())}))
+        files.save_checked(self.spark, f"{self.path}/manifest.json", manifest)
         self.manifest = manifest
 
     @classmethod
@@ -124,16 +116,26 @@ class VectorTable:
     def count(self) -> int:
         return self.live().count()
 
-    def log(self) -> DataFrame:
-        names = [f"{self.path}/{b}" for b in self.manifest["batches"]]
+    def log(self, batches: list[str] | None = None) -> DataFrame:
+        names = [f"{self.path}/{b}" for b in (self.manifest["batches"] if batches is None else batches)]
         return self.spark.read.schema(LOG).parquet(*names) if names else self.spark.createDataFrame([], LOG)
 
     def live(self) -> DataFrame:
-        """(id, label, vector) of the rows that are there: one aggregation by id, combined before its shuffle."""
-        last = self.log().groupBy("id").agg(
-            F.max_by(F.struct("op", "vector"), "seq").alias("last"), F.max_by("label", F.when(F.col("op") == "I", F.col("seq"))).alias("label")
-        )
-        return last.where("last.op <> 'D'").select("id", "label", F.col("last.vector").alias("vector"))
+        """(id, label, vector) of the rows that are there.
+
+        Rows of fresh batches that no other batch names are read as they stand; the rest is one aggregation by id, combined
+        before its shuffle.
+        """
+        fresh = [b for b in self.manifest["batches"] if b in set(self.manifest["fresh"])]
+        rest = [b for b in self.manifest["batches"] if b not in set(fresh)]
+        inserts, changes = self.log(fresh), self.log(rest)
+        if not rest:
+            return inserts.select("id", "label", "vector")
+        if not fresh:
+            return _folded(changes)
+        touched = changes.select("id").distinct()
+        again = inserts.join(touched, "id", "left_semi").select(*changes.columns)
+        return inserts.join(touched, "id", "left_anti").select("id", "label", "vector").unionByName(_folded(again.unionByName(changes)))
 
     # -- changes --------------------------------------------------------------------------------------------------
 
@@ -141,22 +143,33 @@ class VectorTable:
         self.last_error = str(error)
         raise error
 
-    def append(self, ops: DataFrame, rows: int, largest: int | None, beside: Callable[[str], None] | None = None) -> None:
-        """Publish checked operations `(id, step, op, label, vector)`, `step` numbering them from 0.
-
-        `beside` writes what belongs to the batch, given its name, before the batch is seen.
-        """
+    def _writable(self) -> None:
         if self.read_only or self._closed:
             self._fail(Invalid("the table is not open for writing"))
         if self.read_manifest(self.spark, self.path)["generation"] != self.manifest["generation"]:
             self._fail(VectorError("another writer has changed the table; open it again"))
-        name = f"log/{self.manifest['generation'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        start = self.manifest["next_seq"]
+
+    def _new_batch(self) -> str:
+        return f"log/{self.manifest['generation'] + 1:08d}-{uuid.uuid4().hex[:8]}"
+
+    def append(self, ops: DataFrame, rows: int, largest: int | None, beside: Callable[[str], None] | None = None, fresh: bool = False, mark: tuple[str, int] | None = None) -> None:
+        """Publish checked operations `(id, step, op, label, vector)`, `step` numbering them from 0.
+
+        `beside` writes what belongs to the batch, given its name, before the batch is seen.  `fresh` says that all are inserts of ids
+        never seen before, one each.  `mark` is a stream's name and the number of its batch, published with it.
+        """
+        self._writable()
+        name, start = self._new_batch(), self.manifest["next_seq"]
         out = ops.select("id", (F.lit(start) + F.col("step")).cast("long").alias("seq"), "op", "label", F.col("vector").cast(VECTOR).alias("vector"))
         out.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         if beside:
             beside(name)
-        self._publish(self.manifest | {"batches": [*self.manifest["batches"], name], "next_seq": start + rows, "next_id": max(self.next_id, (largest or 0) + 1), "generation": self.manifest["generation"] + 1})
+        new = {"batches": [*self.manifest["batches"], name], "next_seq": start + rows, "next_id": max(self.next_id, (largest or 0) + 1), "generation": self.manifest["generation"] + 1}
+        if fresh:
+            new["fresh"] = [*self.manifest["fresh"], name]
+        if mark:
+            new["streams"] = self.manifest["streams"] | {mark[0]: mark[1]}
+        self._publish(self.manifest | new)
 
     def check(self, rows: DataFrame) -> DataFrame:
         """`rows(id, vector[, label])` with `reason`: null, or why a row can't be inserted."""
@@ -185,20 +198,25 @@ class VectorTable:
         finally:
             checked.unpersist()
 
-    def _insert(self, good: DataFrame, beside: Callable[[str], None] | None = None) -> int:
-        n, largest = good.agg(F.count("*"), F.max("id")).first()
+    def _insert(self, good: DataFrame, beside: Callable[[str], None] | None = None, mark: tuple[str, int] | None = None) -> int:
+        n, least, largest = good.agg(F.count("*"), F.min("id"), F.max("id")).first()
         if n:
             # one insert an id, so operations of a batch need no order among themselves
-            self.append(good.select("id", F.lit(0).alias("step"), F.lit("I").alias("op"), _cut(F.col("label")).alias("label"), "vector"), 1, largest, beside)
+            fresh = not self.manifest["batches"] or least >= self.next_id
+            self.append(good.select("id", F.lit(0).alias("step"), F.lit("I").alias("op"), _cut(F.col("label")).alias("label"), "vector"), 1, largest, beside, fresh, mark)
         return n
 
-    def insert_valid(self, rows: DataFrame) -> tuple[int, DataFrame]:
-        """(rows inserted, rejects with their reason): of several rows with one id, all are rejected."""
+    def insert_valid(self, rows: DataFrame, mark: tuple[str, int] | None = None, before: Callable[[DataFrame, int], None] | None = None) -> tuple[int, DataFrame]:
+        """(rows inserted, rejects with their reason): of several rows with one id, all are rejected.
+
+        `before` gets the rejects and their number ahead of the commit, so that a crash between them loses neither.
+        """
         checked = self.check(rows).cache()
-        n = self._insert(checked.where("reason IS NULL"))
         rejects = checked.where("reason IS NOT NULL")
-        rejects.count()
-        return n, rejects
+        count = rejects.count()
+        if before:
+            before(rejects, count)
+        return self._insert(checked.where("reason IS NULL"), mark=mark), rejects
 
     def _one(self, id: int, op: str, label: str | None, vector: Iterable[float] | None) -> None:
         row = Row(id=id, step=0, op=op, label=label, vector=None if vector is None else [float(x) for x in vector])
@@ -255,17 +273,24 @@ class VectorTable:
         """The live rows of a page, by id."""
         return self.live().orderBy("id").offset(number * size).limit(size)
 
-    def compact(self, beside: Callable[[str], None] | None = None) -> None:
-        """Rewrite the log as inserts of the live rows and drop the old batches."""
-        old = self.manifest["batches"]
-        name = f"log/{self.manifest['generation'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-        seq = self.manifest["next_seq"]
+    def compact(self, beside: Callable[[str], None] | None = None) -> list[str]:
+        """Rewrite the log as inserts of the live rows.
+
+        The old batches stay until the next compaction, for readers that opened the table before this one; returned are those
+        that the last one left and that go now.
+        """
+        self._writable()
+        old, gone = self.manifest["batches"], self.manifest["retired"]
+        name, seq, last = self._new_batch(), self.manifest["next_seq"], self.manifest["compacted"]
+        # operations up to which the new batch holds: a compaction alone adds none
+        upto = last["upto"] if last and old == [last["batch"]] else seq
         self.live().select("id", F.lit(seq).cast("long").alias("seq"), F.lit("I").alias("op"), "label", "vector").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         if beside:
             beside(name)
-        self._publish(self.manifest | {"batches": [name], "next_seq": seq + 1, "generation": self.manifest["generation"] + 1})
-        for b in old:
+        self._publish(self.manifest | {"batches": [name], "fresh": [name], "retired": old, "compacted": {"batch": name, "upto": upto}, "next_seq": seq + 1, "generation": self.manifest["generation"] + 1})
+        for b in gone:
             files.remove(self.spark, f"{self.path}/{b}")
+        return gone
 
     def begin(self):
         """A transaction; as a context manager it commits, or rolls back if an exception passes."""
@@ -282,6 +307,12 @@ class VectorTable:
         return Access(self)
 
 
+def _folded(log: DataFrame) -> DataFrame:
+    """(id, label, vector) that the operations leave."""
+    last = log.groupBy("id").agg(F.max_by(F.struct("op", "vector"), "seq").alias("last"), F.max_by("label", F.when(F.col("op") == "I", F.col("seq"))).alias("label"))
+    return last.where("last.op <> 'D'").select("id", "label", F.col("last.vector").alias("vector"))
+
+
 def _cut(label):
     """At most 255 bytes of UTF-8, whole characters: only longer labels go through the cut."""
     short = F.coalesce(label, F.lit(""))

@@ -16,6 +16,7 @@ class Ingest:
 
     table: VectorTable
     rejects: str
+    name: str
     query: StreamingQuery | None = None
     inserted: int = 0
     errors: int = 0
@@ -34,18 +35,26 @@ class Ingest:
             self.query.stop()
 
     def take(self, batch: DataFrame, number: int) -> None:
-        """One writer: batches commit one after another.  A batch that is delivered again finds its ids there and changes nothing."""
-        n, bad = self.table.insert_valid(batch)
-        count = bad.count()
-        if count:
-            bad.write.mode("overwrite").parquet(f"{self.rejects}/batch={number}")
+        """One writer: batches commit one after another.  The table's manifest holds the last number of each stream, published with
+        its rows, so a batch that is delivered again is passed over, and its rejects stay as they are."""
+        if number <= self.table.manifest["streams"].get(self.name, -1):
+            return
+
+        def keep(bad: DataFrame, count: int) -> None:
+            if count:
+                bad.write.mode("overwrite").parquet(f"{self.rejects}/batch={number}")
+            self.errors += count
+
+        n, _ = self.table.insert_valid(batch, (self.name, number), keep)
         self.inserted += n
-        self.errors += count
 
 
 def start(stream: DataFrame, table: VectorTable, checkpoint: str, rejects: str) -> Ingest:
-    """Write a stream of `(id, vector[, label])` into a table; the source's own limits (`maxFilesPerTrigger`) hold it back."""
-    ingest = Ingest(table, rejects)
+    """Write a stream of `(id, vector[, label])` into a table; the source's own limits (`maxFilesPerTrigger`) hold it back.
+
+    `checkpoint` also names the stream in the table's manifest.
+    """
+    ingest = Ingest(table, rejects, checkpoint)
     ingest.query = stream.writeStream.foreachBatch(ingest.take).option("checkpointLocation", checkpoint).start()
     return ingest
 

@@ -55,8 +55,13 @@ def test_single_query_and_bounds_of_k(data):
 
 def test_queries_in_several_blocks(data, monkeypatch):
     rows, asks, x, q = data
-    monkeypatch.setattr(topk, "QUERY_FLOATS", DIM * 7)
-    assert found(topk.knn(asks, rows, K)) == truth(Metric.L2, x, q)
+    monkeypatch.setattr(topk, "BLOCK_FLOATS", DIM * 7)
+    assert topk.blocks(asks, "query")[0] > 1
+    assert found(topk.knn(asks, rows, K)) == found(topk.knn_sql(asks, rows, K)) == truth(Metric.L2, x, q)
+    index = graph.build_small_world(rows, Metric.L2, 16, 64, part_rows=150)
+    assert found(graph.search(asks, index, K, 1000)) == truth(Metric.L2, x, q)
+    low, high = sq.ranges(rows)
+    assert recall(sq.search(asks, sq.encode(rows, low, high), low, high, K), truth(Metric.L2, x, q)) >= 0.9
 
 
 def test_ties_go_to_the_smaller_id(spark):
@@ -113,7 +118,7 @@ def test_hashing(data):
     rows, asks, x, q = data
     for metric in (Metric.L2, Metric.COSINE):
         index = lsh.Lsh.gaussian(DIM, metric, tables=10, functions=4, width=10.0)
-        assert recall(index.search(asks, rows, K), truth(metric, x, q)) >= 0.5
+        assert recall(index.search(asks, K, index.postings(rows, keep_vector=True)), truth(metric, x, q)) >= 0.5
 
 
 @pytest.mark.parametrize("make", [graph.build_small_world, graph.build_pruned_flat])
@@ -127,6 +132,56 @@ def test_graphs(data, make):
     assert graph.search(asks, index, 0).count() == 0
 
 
+def test_graphs_pass_over_rows_that_are_gone(data, spark):
+    rows, asks, x, q = data
+    left = np.flatnonzero(np.arange(N) % 3 != 0)
+    want = {i: [int(left[j]) for j in got] for i, got in truth(Metric.L2, x[left], q).items()}
+    for make in (graph.build_small_world, graph.build_pruned_flat):
+        index = make(rows, Metric.L2, 16, 64, part_rows=150)
+        gone = rows.where("id % 3 = 0").select("id")
+        assert found(graph.search(asks, index, K, 1000, gone)) == want
+        assert recall(graph.search(asks, index, K, 32, gone), want) >= 0.9
+        assert graph.search(asks, index, K, 32, rows.select("id")).count() == 0
+
+
+def test_links_of_graphs(data):
+    """Links below full width: every node is reached on the ground, lists keep their bounds."""
+    rows, _, x, _ = data
+    small, flat = graph.small_world(np.arange(N), x, Metric.L2, 8, 64), graph.pruned_flat(np.arange(N), x, Metric.L2, 16, 64)
+    for g, most in ((small, 16), (flat, 16)):
+        links = g.layers[0]
+        assert max(map(len, links.values())) <= most and all(n not in out for n, out in links.items())
+        seen, todo = {g.entry}, [g.entry]
+        while todo:
+            new = [m for m in links.get(todo.pop(), ()) if m not in seen]
+            seen.update(new)
+            todo += new
+        assert len(seen) >= 0.99 * N
+
+
+def test_training_lowers_the_error(data):
+    rows, _, x, _ = data
+    error = lambda c: kernels.l2_squared(x, c).min(1).mean()
+    first = kmeans.plus_plus(rows, 8)
+    trained = kmeans.lloyd(rows, first, 100)
+    assert error(trained) < error(first) and len(np.unique(first, axis=0)) == 8
+    assert np.abs(kmeans.step(rows, trained)[0] - trained).max() < 1e-5
+    coarse = inverted.ProductQuantizer.train(rows, 4, 4, 4, rounds=0)
+    fine = inverted.ProductQuantizer.train(rows, 4, 4, 4, rounds=20)
+
+    def lost(pq):
+        cell = kmeans.nearest(x, pq.centroids)
+        codes = pq._codes(x, cell)
+        return ((x - pq.centroids[cell] - np.concatenate([pq.codebooks[s][codes[:, s]] for s in range(4)], axis=1)) ** 2).sum(1).mean()
+
+    assert lost(fine) < lost(coarse)
+
+
+def test_random_query_is_of_length_one():
+    a, b = topk.random_query(9, 1), topk.random_query(9, 2)
+    assert abs(np.linalg.norm(a) - 1) < 1e-6 and a != b and a == topk.random_query(9, 1)
+
+
 def test_recall_report(data):
     rows, asks, *_ = data
     exact = topk.knn(asks, rows, K)
