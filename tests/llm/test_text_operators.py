@@ -174,6 +174,12 @@ def test_rules_are_gated_and_contained_detections_go():
 # -- near copies --------------------------------------------------------------------------------------------------------
 
 
+def test_the_unfolded_index_is_never_broadcast(spark):
+    nodes = spark.range(50).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
@@ -275,6 +281,25 @@ def test_rewritten_documents_keep_their_columns(frame):
     docs = frame([(1, "a b c d\nx y"), (2, "x y\nnew")])
     got = {r["doc_id"]: r for r in linededup.rewrite(docs).collect()}
     assert got[2]["text"] == "new" and got[2]["n_chars"] == 3 and got[1]["n_chars"] == 11 and set(docs.columns) == set(got[1].asDict())
+    clashing = docs.selectExpr("doc_id", "text", "n_chars", "5 AS key", "'g' AS gone", "1 AS row", "true AS same", "7 AS seq")
+    more = linededup.rewrite(clashing)
+    assert more.columns == clashing.columns
+    assert sorted(map(tuple, more.collect())) == [(1, "a b c d\nx y", 11, 5, "g", 1, True, 7), (2, "new", 3, 5, "g", 1, True, 7)]
+
+
+def test_lines_of_many_words_and_parity_words(spark):
+    """Lines over and under the length from which there are four parity words, against all pairs."""
+    rng = random.Random(23)
+    lines = []
+    for base in range(12):
+        words = [f"b{base}x{i}" for i in range(rng.choice([140, 150, 158, 165, 200, 330]))]
+        for _ in range(4):
+            out = [w if rng.random() > 0.045 else f"e{rng.randrange(10**6)}" for w in words]
+            lines.append(" ".join(out[: len(out) - rng.randrange(12)]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [set(x.split()) for x in lines]
+    want = {i for i in range(len(sets)) if any(9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) for j in range(i))}
+    assert {r["doc_id"] for r in linededup.dedup_lines(docs).where("n_removed > 0").collect()} == want and 5 < len(want) < 36
 
 
 # -- quality ------------------------------------------------------------------------------------------------------------
