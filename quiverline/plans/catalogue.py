@@ -18,9 +18,10 @@ from ..functions import metrics
 from ..operators import cache, graph, inverted, kmeans, lsh, sq, topk
 from ..operators.collection import Collection, DataType, Field, Schema
 from ..operators.inverted import stretched
+from ..sources import files
 from ..sources.store import VectorTable
 from ..streaming import ingest
-from ..types import Index, Invalid, Metric, VectorError
+from ..types import Index, Metric, VectorError
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 10
@@ -57,10 +58,7 @@ def _out(found: DataFrame) -> DataFrame:
 
 def _place(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise Invalid("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{files.shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 def _digest(rows: DataFrame) -> DataFrame:

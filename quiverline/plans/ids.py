@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import files
+
 
 def with_ids(rows: DataFrame, first: int, order: str | None = None) -> DataFrame:
     """Adds `id`: first, first + 1, ... in the order of the rows' places, or of a column.
@@ -16,7 +18,11 @@ def with_ids(rows: DataFrame, first: int, order: str | None = None) -> DataFrame
     if order:
         rows = rows.repartitionByRange(order).sortWithinPartitions(order)
     marked = rows.withColumn("_at", F.monotonically_increasing_id())
-    marked = marked.checkpoint() if order else marked
+    if order:
+        context = rows.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(files.shared_dir(rows.sparkSession))
+        marked = marked.checkpoint()
     part = F.shiftright("_at", 33)
     counts = marked.groupBy(part.alias("_part")).count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import zlib
 from typing import Any
 
 from pyspark.sql import SparkSession
 
-from ..types import Corrupt
+from ..types import Corrupt, Invalid
 
 
 def _path(spark: SparkSession, path: str):
@@ -16,6 +17,18 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, `spark.checkpoint.dir`; where Spark runs in one process and it is unset, a
+    temporary one, which no cluster could use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise Invalid("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quiverline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)
