@@ -19,6 +19,7 @@ taken whole; other columns are ignored, or kept as they are by `rewrite`, whatev
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,8 @@ from .common import drop_tables, materialise
 
 _BUCKET_BITS = 17
 BUCKETS = 1 << _BUCKET_BITS
-#: Turns that the tokens are joined in, a power of two.
-TURNS = 2
+#: Turns that the tokens are joined in, with the earliest lines and with all.
+PIVOT_TURNS, PAIR_TURNS = 2, 3
 #: Words from which on a line has four parity words of 64 bits instead of two.
 LONG = 160
 #: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
@@ -143,9 +144,9 @@ def _folded(name: str = "") -> list[Column]:
     return [F.col(f"{name}w{w}").bitwiseXOR(F.coalesce(f"{name}w{w + 2}", F.lit(0).cast("long"))).alias(f"w{w}") for w in range(2)]
 
 
-def _turn(rows: DataFrame, turn: int) -> DataFrame:
-    """Rows of the tokens whose lowest bits, a hash's, name the turn."""
-    return rows.where(F.col("token").bitwiseAND(F.lit(TURNS - 1)) == turn)
+def _turn(rows: DataFrame, turn: int, turns: int) -> DataFrame:
+    """Rows of the tokens that fall to a turn; their lowest bits are a hash's."""
+    return rows.where(F.pmod("token", F.lit(turns)) == turn)
 
 
 def _short(n: str) -> Column:
@@ -155,7 +156,7 @@ def _short(n: str) -> Column:
 
 def _to_pivots(heads: DataFrame, turn: int) -> DataFrame:
     """(x, y): lines y and the earliest line x of each token of their short prefix, if length and parity allow them to be similar."""
-    rare = _turn(heads.select("seq", "n", *_folded(), F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn)
+    rare = _turn(heads.select("seq", "n", *_folded(), F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn, PIVOT_TURNS)
     earliest = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.min_by("w0", "seq").alias("xw0"), F.min_by("w1", "seq").alias("xw1"), F.count("*").alias("c"))
     alike = _apart([(F.col("w0"), F.col("xw0")), (F.col("w1"), F.col("xw1"))]) * 9 <= F.col("n") + F.col("xn")
     met = rare.join(earliest.where("c > 1").drop("c"), "token").where((F.col("seq") > F.col("x")) & (F.col("xn") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("xn") * 4) & alike)
@@ -173,7 +174,7 @@ def _pairs(heads: DataFrame, turn: int) -> DataFrame:
 
     def side(name: str, tokens: Column) -> DataFrame:
         words = [F.col(w).alias(f"{name}{w}") for w in _WORDS]
-        return _turn(heads.select(F.col("seq").alias(name), kind.alias(f"{name}k"), *words, F.posexplode(tokens).alias(f"{name}p", "token")), turn)
+        return _turn(heads.select(F.col("seq").alias(name), kind.alias(f"{name}k"), *words, F.posexplode(tokens).alias(f"{name}p", "token")), turn, PAIR_TURNS)
 
     s, l = side("s", F.slice("head", F.lit(1), _short("n"))), side("l", F.col("head"))
     sn, ln = F.shiftright("sk", 1), F.shiftright("lk", 1)
@@ -201,9 +202,9 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[DataF
     return near, [ids, sets]
 
 
-def _in_turns(one, heads: DataFrame, lines: DataFrame) -> DataFrame:
+def _in_turns(one: Callable[[DataFrame, int], DataFrame], count: int, heads: DataFrame, lines: DataFrame) -> DataFrame:
     """Verified `y` of the pairs of all turns, of which the rows of one alone are on disk at a time."""
-    turns = [materialise(one(heads, t), "line-pairs") for t in range(TURNS)]
+    turns = [materialise(one(heads, t), "line-pairs") for t in range(count)]
     near, used = _verified(reduce(DataFrame.unionByName, turns).distinct(), lines)
     near = materialise(near, "line-near")
     drop_tables(*turns, *used)
@@ -213,13 +214,13 @@ def _in_turns(one, heads: DataFrame, lines: DataFrame) -> DataFrame:
 def similar_lines(lines: DataFrame) -> DataFrame:
     """`y`: the `seq` of the lines that an earlier line of `lines(seq, r)` is similar to or equals as a set."""
     heads = materialise(_heads(lines, rarity(lines)), "line-heads", dictionary=False)
-    near = _in_turns(_to_pivots, heads, lines)
+    near = _in_turns(_to_pivots, PIVOT_TURNS, heads, lines)
     known = near.select(F.col("y").alias("seq"), F.lit(False).alias("alone"))
     few = _few(known)
     marked = heads.where("n >= 4").join(F.broadcast(known) if few else known, "seq", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
     if not few:  # joined once, not in every turn
         marked = materialise(marked, "line-marked", dictionary=False)
-    out = materialise(near.unionByName(_in_turns(_pairs, marked, lines)), "line-similar")
+    out = materialise(near.unionByName(_in_turns(_pairs, PAIR_TURNS, marked, lines)), "line-similar")
     drop_tables(heads, near, *[marked] * (not few))
     return out
 
