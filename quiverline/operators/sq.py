@@ -47,4 +47,4 @@ def decode(codes: DataFrame, low: list[float], high: list[float]) -> DataFrame:
 def search(queries: DataFrame, codes: DataFrame, low: list[float], high: list[float], k: int, metric: Metric = Metric.L2) -> DataFrame:
     """Exact distances to what the codes stand for, over all codes."""
     base, step = np.array(low), (np.array(high) - np.array(low)) / 255
-    return scan(queries, codes, k, lambda q, b: kernels.distances(metric, q, base + kernels.matrix(b["codes"]) * step), ["id", "codes"])
+    return scan(queries, codes, k, metric, lambda b: base + kernels.matrix(b["codes"]) * step, ["id", "codes"])
