@@ -22,6 +22,10 @@ from .topk import DIGITS, FOUND, ranked
 
 #: Rows of a cell that one task takes.
 CELL_ROWS = 50_000
+#: Rows of a cell for which its queries are dealt to one task more.
+ASK_ROWS = 4_000
+#: Rows of a query, in each part of a cell, that are sent to be ranked again at most.
+SENT = 256
 #: Rows that codebooks are trained on at most (a hash sample beyond it).
 TRAIN_ROWS = 100_000
 
@@ -48,37 +52,57 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     return queries.select("query_id", "query", F.explode(cells("query")).alias("cell"))
 
 
-Score = Callable[[int, np.ndarray, pd.DataFrame], np.ndarray]
+Best = Callable[[int, np.ndarray, pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def probe_join(asked: DataFrame, rows: DataFrame, k: int, score: Score, columns: list[str], exact: Metric | None = None) -> DataFrame:
-    """(query_id, id, distance[, exact]): the k best of each query in each dealt part of its cells.
+def nearest_vectors(metric: Metric, k: int) -> Best:
+    """The k nearest by the vectors themselves."""
+    return lambda _cell, q, x: kernels.nearest(metric, q, kernels.matrix(x["vector"]), x["id"].to_numpy(), k, DIGITS)
 
-    `score(cell, queries, rows of the cell)` gives distances.  With a metric for `exact`, the distances of the k best by it, from
-    the vectors that are there anyway.
+
+def by_cell(asked: DataFrame, rows: DataFrame, meet: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], ask_columns: list[str], columns: list[str], schema: str) -> DataFrame:
+    """`meet((cell, ...), queries, rows)` for each dealt part of a cell's rows and of its queries, where there are both.
+
+    Rows are dealt so that a task takes `CELL_ROWS` of them at most; queries so that cells with many rows make several tasks.
     """
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("spread"))  # a row a cell
-    left = asked.join(F.broadcast(sizes), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)))
-    right = rows.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("spread")).cast("int"))
-    schema = FOUND + (", exact double" if exact is not None else "")
+    n = F.count("*")
+    sizes = rows.groupBy("cell").agg(F.ceil(n / CELL_ROWS).cast("int").alias("spread"), F.least(F.lit(64), F.ceil(n / ASK_ROWS)).cast("int").alias("asks"))  # a row a cell
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda id, c: F.pmod(F.xxhash64(id), F.col(c)).cast("int")
+    left = asked.join(F.broadcast(sizes), "cell").withColumn("salt", each("spread")).withColumn("ask", dealt("query_id", "asks"))
+    right = rows.join(F.broadcast(sizes), "cell").withColumn("salt", dealt("id", "spread")).withColumn("ask", each("asks"))
+    keys, names = ["cell", "salt", "ask"], [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        return meet(key, q, x) if len(q) and len(x) else pd.DataFrame({c: [] for c in names})
+
+    return left.select(*keys, *ask_columns).groupBy(*keys).cogroup(right.select(*keys, *columns).groupBy(*keys)).applyInPandas(run, schema)
+
+
+def probe_join(asked: DataFrame, rows: DataFrame, best: Best, columns: list[str], more: dict[str, Callable[..., np.ndarray]] | None = None) -> DataFrame:
+    """(query_id, id, distance, ...): the best of each query in each dealt part of its cells.
+
+    `best(cell, queries, rows of the cell)` gives (query, row, distance) of those; each function of `more` a further column, from the
+    same arguments and the two numbers.
+    """
+    more = more or {}
 
     def meet(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        got = [pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})]
-        ids = x["id"].to_numpy()
-        vectors = kernels.matrix(x["vector"]) if exact is not None and len(x) else None
-        step = max(1, 4_000_000 // max(1, len(x)))
-        for lo in range(0, len(q) if len(x) else 0, step):
-            part = q.iloc[lo : lo + step]
-            asking = kernels.matrix(part["query"])
-            d = np.round(score(int(key[0]), asking, x), DIGITS)
-            i, j = kernels.top_k(d, ids, k)
-            new = pd.DataFrame({"query_id": part["query_id"].to_numpy()[i], "id": ids[j], "distance": d[i, j]})
-            if vectors is not None:
-                new["exact"] = np.concatenate([np.round(kernels.distances(exact, asking[n : n + 1], vectors[j[i == n]])[0], DIGITS) for n in np.unique(i)]) if len(i) else 0.0
-            got.append(new)
-        return pd.concat(got[1:] or got)
-
-    return left.select("cell", "salt", "query_id", "query").groupBy("cell", "salt").cogroup(right.select("cell", "salt", *columns).groupBy("cell", "salt")).applyInPandas(meet, schema)
+        asking = kernels.matrix(q["query"])
+        i, j, d = best(int(key[0]), asking, x)
+        out = pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "id": x["id"].to_numpy()[j], "distance": d})
+        for name, f in more.items():
+            out[name] = f(int(key[0]), asking, x, i, j)
+        return out
+
+    return by_cell(asked, rows, meet, ["query_id", "query"], columns, ", ".join([FOUND, *(f"{c} double" for c in more)]))
+
+
+def of_pairs(metric: Metric, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, squared: bool = False) -> np.ndarray:
+    """Rounded distances of the rows i of a to the rows j of b."""
+    step = 1 << 14
+    parts = [kernels.pairwise(metric, a[i[lo : lo + step]], b[j[lo : lo + step]], squared) for lo in range(0, len(i), step)]
+    return np.round(np.concatenate(parts), DIGITS) if parts else np.empty(0)
 
 
 @dataclass
@@ -96,8 +120,7 @@ class InvertedFile:
         return assign(rows, self.centroids)
 
     def search(self, queries: DataFrame, encoded: DataFrame, k: int, metric: Metric = Metric.L2, nprobe: int = 8) -> DataFrame:
-        score = lambda _cell, q, x: kernels.distances(metric, q, kernels.matrix(x["vector"]))
-        found = probe_join(probes(queries, self.centroids, nprobe), encoded, k, score, ["id", "vector"])
+        found = probe_join(probes(queries, self.centroids, nprobe), encoded, nearest_vectors(metric, k), ["id", "vector"])
         return ranked(found, k).select("query_id", "rank", "id", "distance")
 
 
@@ -165,28 +188,71 @@ class ProductQuantizer:
 
         return assign(rows, self.centroids).select("id", "cell", codes("vector", "cell").alias("codes"), *["vector"] * keep_vector)
 
-    def table(self, cell: int, q: np.ndarray) -> np.ndarray:
-        """(queries, subspaces, codes): squared L2 of each query's residual to each code."""
-        sub = self.codebooks.shape[2]
-        residual = stretched(q, q - self.centroids[cell], self.eta)
-        return np.stack([kernels.l2_squared(residual[:, s * sub : (s + 1) * sub], book) for s, book in enumerate(self.codebooks)], axis=1)
-
-    def approximate(self, cell: int, q: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-        """Sum of the table's entries that a row's codes name: the squared L2 that stands for the distance."""
-        table, codes = self.table(cell, q), kernels.matrix(rows["codes"]).astype(np.int64)
-        out = np.zeros((len(q), len(codes)))
-        for s in range(table.shape[1]):
-            out += table[:, s, :][:, codes[:, s]]
-        return out
+    def asked(self, cell: int, q: np.ndarray) -> np.ndarray:
+        """The queries' residuals, which are held against those that the codes stand for."""
+        return stretched(q, q - self.centroids[cell], self.eta)
+
+    def meant(self, rows: pd.DataFrame) -> np.ndarray:
+        """The residuals that the rows' codes stand for; squared L2 to them is the sum of a query's table entries that the codes name."""
+        codes = kernels.matrix(rows["codes"]).astype(np.int64)
+        return np.concatenate([book[codes[:, s]] for s, book in enumerate(self.codebooks)], axis=1)
+
+    def nearest_codes(self, k: int) -> Best:
+        return lambda cell, q, x: kernels.nearest(Metric.L2, self.asked(cell, q), self.meant(x), x["id"].to_numpy(), k, DIGITS, squared=True)
 
     def search(self, queries: DataFrame, encoded: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
         """By approximate squared L2, whatever the metric."""
-        found = probe_join(probes(queries, self.centroids, nprobe), encoded, k, self.approximate, ["id", "codes"])
+        found = probe_join(probes(queries, self.centroids, nprobe), encoded, self.nearest_codes(k), ["id", "codes"])
         return ranked(found, k).select("query_id", "rank", "id", "distance")
 
     def search_reranked(self, queries: DataFrame, encoded: DataFrame, k: int, metric: Metric = Metric.L2, nprobe: int = 32, rerank_k: int = 100) -> DataFrame:
-        """The best max(rerank_k, k) by codes, ranked again by their exact distance; `encoded` holds the vectors."""
+        """The best max(rerank_k, k) by codes, ranked again by their exact distance; `encoded` holds the vectors.
+
+        If that many are all rows, the codes leave none out; if they are more than `SENT`, they aren't sent (`_by_places`).
+        """
         m = max(rerank_k if rerank_k > 0 else 100, k)
-        found = probe_join(probes(queries, self.centroids, nprobe), encoded, m, self.approximate, ["id", "codes", "vector"], exact=metric)
+        if m > SENT:
+            if m < encoded.count():
+                return self._by_places(queries, encoded, k, metric, nprobe, m)
+            found = probe_join(probes(queries, self.centroids, nprobe), encoded, nearest_vectors(metric, k), ["id", "vector"])
+            return ranked(found, k).select("query_id", "rank", "id", "distance")
+        exact = lambda _cell, q, x, i, j: of_pairs(metric, q, kernels.matrix(x["vector"]), i, j)
+        found = probe_join(probes(queries, self.centroids, nprobe), encoded, self.nearest_codes(m), ["id", "codes", "vector"], {"exact": exact})
         best = ranked(found, m).select("query_id", "id", F.col("exact").alias("distance"))
         return ranked(best, k).select("query_id", "rank", "id", "distance")
+
+    def _by_places(self, queries: DataFrame, encoded: DataFrame, k: int, metric: Metric, nprobe: int, m: int) -> DataFrame:
+        """The same from the other end: the nearest by exact distance, of which those stay whose place by codes is among the first m.
+
+        A place is the number of rows of the probed cells that codes put before; tasks count them.  Queries that keep fewer than k are
+        asked again for four times as many, until they keep k or have seen all their rows.  A query never sends more than that.
+        """
+        code = lambda cell, q, x, i, j: of_pairs(Metric.L2, self.asked(cell, q), self.meant(x), i, j, squared=True)
+
+        def places(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            asking, meant, ids, got = self.asked(int(key[0]), kernels.matrix(q["query"])), self.meant(x), x["id"].to_numpy(), []
+            step = max(1, 4_000_000 // len(x))
+            for lo in range(0, len(q), step):
+                d = np.round(kernels.l2_squared(asking[lo : lo + step], meant), DIGITS)
+                for row, inorder, own, codes, qid in zip(d, np.sort(d, axis=1), q["ids"].iloc[lo:], q["codes"].iloc[lo:], q["query_id"].iloc[lo:]):
+                    before = np.searchsorted(inorder, codes)
+                    for t in np.flatnonzero(np.searchsorted(inorder, codes, "right") > before):  # ties go to the smaller id
+                        before[t] += (ids[row == codes[t]] < own[t]).sum()
+                    got.append((qid, own, before))
+            return pd.DataFrame({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]), "id": np.concatenate([g[1] for g in got]), "n": np.concatenate([g[2] for g in got])})
+
+        queries, wanted, out = queries.select("query_id", "query"), 2 * k, None
+        while True:
+            asked = probes(queries, self.centroids, nprobe)
+            first = ranked(probe_join(asked, encoded, nearest_vectors(metric, wanted), ["id", "codes", "vector"], {"code": code}), wanted).drop("rank").checkpoint()
+            lists = first.groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("held")).select("query_id", F.col("held.id").alias("ids"), F.col("held.code").alias("codes"))
+            counts = by_cell(asked.join(lists, "query_id"), encoded, places, ["query_id", "query", "ids", "codes"], ["id", "codes"], "query_id long, id long, n long")
+            place = counts.groupBy("query_id", "id").agg(F.sum("n").alias("n"))
+            kept = first.join(place, ["query_id", "id"]).withColumn("stays", F.col("n") < m).checkpoint()
+            full = kept.groupBy("query_id").agg(((F.count_if("stays") >= k) | (F.count("*") < wanted)).alias("full"))
+            done = kept.where("stays").join(full.where("full"), "query_id", "left_semi").select("query_id", "id", "distance")
+            out = done if out is None else out.unionByName(done)
+            short = full.where(~F.col("full")).select("query_id")
+            if short.isEmpty():
+                return ranked(out, k).select("query_id", "rank", "id", "distance")
+            queries, wanted = queries.join(short, "query_id", "left_semi"), 4 * wanted

@@ -18,6 +18,8 @@ from ..types import Invalid
 
 DIGITS = 6
 SEED_SAMPLE = 20_000
+#: Tasks whose sums the driver adds up itself, without a shuffle.
+FEW_TASKS = 64
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -66,6 +68,12 @@ def step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray
         yield pd.DataFrame({"cell": at, "n": n[at], "total": pd.Series(total[at].tolist(), dtype=object)})
 
     part = rows.select("vector").mapInPandas(run, "cell long, n long, total array<double>")
+    if part.rdd.getNumPartitions() <= FEW_TASKS:  # a row for each task and centroid
+        got, count, total = part.toPandas(), np.zeros(len(centroids), dtype=np.int64), np.zeros_like(centroids)
+        for cell, n, x in zip(got["cell"], got["n"], got["total"]):
+            count[cell] += n
+            total[cell] += x
+        return np.where(count[:, None] > 0, np.round(total / np.maximum(count, 1)[:, None], DIGITS), centroids), count
     sums = part.select("cell", "n", F.posexplode("total").alias("pos", "x")).groupBy("cell", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     out, count = centroids.copy(), np.zeros(len(centroids), dtype=np.int64)
     for r in sums.collect():  # a row for each centroid and component
@@ -76,11 +84,17 @@ def step(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def lloyd(rows: DataFrame, centroids: np.ndarray, rounds: int) -> np.ndarray:
     """Up to `rounds` rounds, fewer if nothing moves."""
-    for _ in range(rounds):
-        new, _ = step(rows, centroids)
-        if np.array_equal(new, centroids):
-            break
-        centroids = new
+    if not rounds:
+        return centroids
+    rows = rows.select("vector").persist()  # else each round makes them anew
+    try:
+        for _ in range(rounds):
+            new, _ = step(rows, centroids)
+            if np.array_equal(new, centroids):
+                break
+            centroids = new
+    finally:
+        rows.unpersist()
     return centroids
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..types import Metric
-from .inverted import probe_join
+from .inverted import nearest_vectors, probe_join
 from .topk import ranked
 
 # FNV-1a, 32 bits.
@@ -83,7 +83,6 @@ class Lsh:
         """
         cell = (F.col("tbl") * self.buckets + F.col("bucket")).cast("int").alias("cell")
         asked = self._hashed(queries, "query_id", "query").select("query_id", "query", cell)
-        score = lambda _cell, q, x: kernels.distances(self.metric, q, kernels.matrix(x["vector"]))
-        found = probe_join(asked, postings.select("id", "vector", cell), k, score, ["id", "vector"])
+        found = probe_join(asked, postings.select("id", "vector", cell), nearest_vectors(self.metric, k), ["id", "vector"])
         best = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
         return ranked(best, k).select("query_id", "rank", "id", "distance")

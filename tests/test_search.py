@@ -187,3 +187,38 @@ def test_recall_report(data):
     exact = topk.knn(asks, rows, K)
     assert topk.recall(exact, exact).agg(F.min("recall")).first()[0] == 1.0
     assert topk.recall(exact.limit(0), exact).agg(F.max("recall")).first()[0] == 0.0
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_screened_search_equals_all_distances(metric):
+    """Vectors far from the origin, copies, zeros and huge values: the same rows as all exact distances give."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x = (x > 0).astype(float) if metric == Metric.HAMMING else x
+    ids = rng.permutation(len(x))
+    for q, rows, k in ((x[:90], x, 10), (x[:90] + 1000, x + 1000, 10), (x[:30], np.repeat(x[:30], 100, 0), 7), (x[:9], np.zeros_like(x), 3), (x[:9] * 1e20, x * 1e20, 5), (x[:9], x[:20], 50)):
+        i, j, d = kernels.nearest(metric, q, rows, ids[: len(rows)], k, topk.DIGITS)
+        all_d = np.round(kernels.distances(metric, q, rows), topk.DIGITS)
+        a, b = kernels.top_k(all_d, ids[: len(rows)], k)
+        assert i.tolist() == a.tolist() and j.tolist() == b.tolist() and np.allclose(d, all_d[a, b], rtol=1e-9, atol=2e-6)
+
+
+def test_many_reranked_rows_are_not_sent(data, monkeypatch):
+    """Places by codes counted in the tasks, several rounds of them, give what sending all m rows gives."""
+    rows, asks, *_ = data
+    pq = inverted.ProductQuantizer.train(rows, 8, 4, 4, rounds=10, eta=0.2)
+    enc = pq.encode(rows, keep_vector=True).cache()
+    monkeypatch.setattr(inverted, "ASK_ROWS", 10)
+    for m in (15, 60):
+        monkeypatch.setattr(inverted, "SENT", 256)
+        want = found(pq.search_reranked(asks, enc, K, Metric.L2, 6, m))
+        monkeypatch.setattr(inverted, "SENT", 10)
+        assert found(pq.search_reranked(asks, enc, K, Metric.L2, 6, m)) == want
+    assert found(pq.search_reranked(asks, enc, K, Metric.L2, 8, 100_000)) == found(topk.knn(asks, rows, K))
+
+
+def test_many_pairs_leave_the_form_in_expressions(data, monkeypatch):
+    rows, asks, x, q = data
+    monkeypatch.setattr(topk, "SQL_PAIRS", 100)
+    plan = topk.knn_sql(asks, rows, K)._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and found(topk.knn_sql(asks, rows, K)) == truth(Metric.L2, x, q)
