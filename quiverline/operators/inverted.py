@@ -231,13 +231,21 @@ class ProductQuantizer:
 
         def places(key: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             asking, meant, ids, got = self.asked(int(key[0]), kernels.matrix(q["query"])), self.meant(x), x["id"].to_numpy(), []
+            centre = meant.mean(0)
+            a, b = asking - centre, meant - centre
+            qa, xb = (a * a).sum(1), (b * b).sum(1)
+            a32, b32 = np.hstack([a, np.ones((len(a), 1))]).astype(np.float32), np.hstack([-2 * b, xb[:, None]]).astype(np.float32)
+            error = (a.shape[1] + 8) * 2.0**-23 * (qa + 2 * xb.max()) + 2e-6
             step = max(1, 4_000_000 // len(x))
             for lo in range(0, len(q), step):
-                d = np.round(kernels.l2_squared(asking[lo : lo + step], meant), DIGITS)
-                for row, inorder, own, codes, qid in zip(d, np.sort(d, axis=1), q["ids"].iloc[lo:], q["codes"].iloc[lo:], q["query_id"].iloc[lo:]):
-                    before = np.searchsorted(inorder, codes)
-                    for t in np.flatnonzero(np.searchsorted(inorder, codes, "right") > before):  # ties go to the smaller id
-                        before[t] += (ids[row == codes[t]] < own[t]).sum()
+                rough = a32[lo : lo + step] @ b32.T  # squares without that of the query, off by less than its error
+                for n, (row, inorder, own, codes, qid) in enumerate(zip(rough, np.sort(rough, axis=1), q["ids"].iloc[lo:], q["codes"].iloc[lo:], q["query_id"].iloc[lo:]), lo):
+                    low, high = (codes - qa[n] - error[n]).astype(np.float32), (codes - qa[n] + error[n]).astype(np.float32)
+                    before = np.searchsorted(inorder, low)
+                    for t in np.flatnonzero(np.searchsorted(inorder, high, "right") > before):  # too near to tell: exactly; ties go to the smaller id
+                        near = np.flatnonzero((row >= low[t]) & (row <= high[t]))
+                        d = np.round(((asking[n] - meant[near]) ** 2).sum(1), DIGITS)
+                        before[t] += ((d < codes[t]) | ((d == codes[t]) & (ids[near] < own[t]))).sum()
                     got.append((qid, own, before))
             return pd.DataFrame({"query_id": np.repeat([g[0] for g in got], [len(g[1]) for g in got]), "id": np.concatenate([g[1] for g in got]), "n": np.concatenate([g[2] for g in got])})
 

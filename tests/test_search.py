@@ -222,3 +222,13 @@ def test_many_pairs_leave_the_form_in_expressions(data, monkeypatch):
     monkeypatch.setattr(topk, "SQL_PAIRS", 100)
     plan = topk.knn_sql(asks, rows, K)._jdf.queryExecution().toString()
     assert "MapInPandas" in plan and found(topk.knn_sql(asks, rows, K)) == truth(Metric.L2, x, q)
+
+
+def test_full_width_over_many_small_parts(data):
+    """Several parts a task and several blocks of queries; builds keep every node within reach."""
+    rows, asks, x, q = data
+    for make in (graph.build_small_world, graph.build_pruned_flat):
+        index = make(rows, Metric.L2, 4, 16, part_rows=20)
+        assert found(graph.search(asks, index, K, 1000)) == truth(Metric.L2, x, q)
+    for g in (graph.small_world(np.arange(N), x, Metric.L2, 3), graph.pruned_flat(np.arange(N), x, Metric.L2, 4, 16)):
+        assert len(g.reached()) == N
