@@ -134,7 +134,7 @@ class Access:
         """(query_id, rank, id, distance, label) for `queries(query_id, query)`; labels are joined to the k found only."""
         kind, metric = self.table.index_type, self.table.metric
         if kind == Index.LINEAR:
-            found = topk.knn(queries, self.table.live(), k, metric)
+            found = topk.knn(queries, self.table.live(), k, metric, self.table.most())
         else:
             if self.data is None:
                 self.load()
@@ -145,7 +145,7 @@ class Access:
             if touched is not None and self._is_graph:
                 # what came after the graphs were built is searched exactly
                 found = topk.ranked(found.drop("rank").unionByName(topk.knn(queries, fresh, k, metric).drop("rank")), k)
-        return found.join(self.table.live().select("id", "label"), "id").select("query_id", "rank", "id", F.col("distance"), "label")
+        return found.join(self.table.live(vectors=False), "id").select("query_id", "rank", "id", F.col("distance"), "label")
 
     def _found(self, queries: DataFrame, data: DataFrame, k: int, nprobe: int | None, width: int | None, allow_l2_ranking: bool, gone: DataFrame | None) -> DataFrame:
         p, kind, metric = self.params, self.table.index_type, self.table.metric

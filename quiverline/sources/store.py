@@ -118,24 +118,30 @@ class VectorTable:
 
     def log(self, batches: list[str] | None = None) -> DataFrame:
         names = [f"{self.path}/{b}" for b in (self.manifest["batches"] if batches is None else batches)]
-        return self.spark.read.schema(LOG).parquet(*names) if names else self.spark.createDataFrame([], LOG)
+        # an empty range costs no job, and no Python worker
+        return self.spark.read.schema(LOG).parquet(*names) if names else self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in LOG))
 
-    def live(self) -> DataFrame:
-        """(id, label, vector) of the rows that are there.
+    def most(self) -> int:
+        """Rows that are there at most: operations, which Parquet counts by itself."""
+        return self.log().count()
+
+    def live(self, vectors: bool = True) -> DataFrame:
+        """(id, label, vector) of the rows that are there; (id, label) without `vectors`, which aren't read then.
 
         Rows of fresh batches that no other batch names are read as they stand; the rest is one aggregation by id, combined
         before its shuffle.
         """
+        kept = ["id", "label", *["vector"] * vectors]
         fresh = [b for b in self.manifest["batches"] if b in set(self.manifest["fresh"])]
         rest = [b for b in self.manifest["batches"] if b not in set(fresh)]
         inserts, changes = self.log(fresh), self.log(rest)
         if not rest:
-            return inserts.select("id", "label", "vector")
+            return inserts.select(*kept)
         if not fresh:
-            return _folded(changes)
+            return _folded(changes, vectors)
         touched = changes.select("id").distinct()
         again = inserts.join(touched, "id", "left_semi").select(*changes.columns)
-        return inserts.join(touched, "id", "left_anti").select("id", "label", "vector").unionByName(_folded(again.unionByName(changes)))
+        return inserts.join(touched, "id", "left_anti").select(*kept).unionByName(_folded(again.unionByName(changes), vectors))
 
     # -- changes --------------------------------------------------------------------------------------------------
 
@@ -159,9 +165,23 @@ class VectorTable:
         never seen before, one each.  `mark` is a stream's name and the number of its batch, published with it.
         """
         self._writable()
+        self._commit(self._staged(ops), rows, largest, beside, fresh, mark)
+
+    def _staged(self, ops: DataFrame) -> str:
+        """The name of a batch that is written, and that nobody sees yet."""
         name, start = self._new_batch(), self.manifest["next_seq"]
         out = ops.select("id", (F.lit(start) + F.col("step")).cast("long").alias("seq"), "op", "label", F.col("vector").cast(VECTOR).alias("vector"))
-        out.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        try:
+            out.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        except BaseException:
+            files.remove(self.spark, f"{self.path}/{name}")
+            raise
+        return name
+
+    def _commit(self, name: str, rows: int, largest: int | None, beside: Callable[[str], None] | None = None, fresh: bool = False, mark: tuple[str, int] | None = None) -> None:
+        """Publish a batch that `_staged` wrote."""
+        self._writable()
+        start = self.manifest["next_seq"]
         if beside:
             beside(name)
         new = {"batches": [*self.manifest["batches"], name], "next_seq": start + rows, "next_id": max(self.next_id, (largest or 0) + 1), "generation": self.manifest["generation"] + 1}
@@ -173,30 +193,49 @@ class VectorTable:
 
     def check(self, rows: DataFrame) -> DataFrame:
         """`rows(id, vector[, label])` with `reason`: null, or why a row can't be inserted."""
-        taken = self.live().select("id").withColumn("_taken", F.lit(True))
-        label = F.col("label") if "label" in rows.columns else F.lit(None).cast("string")
-        named = rows.select(F.col("id").cast("long").alias("id"), label.alias("label"), F.col("vector").cast(VECTOR).alias("vector"))
+        taken = self.live(vectors=False).select("id").withColumn("_taken", F.lit(True))
+        named = _named(rows)
         many = named.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1")
-        reason = (
+        reason = self._unfit().when(F.col("_n").isNotNull(), "repeated id").when(F.col("_taken"), "id exists")
+        return named.join(many, "id", "left").join(taken, "id", "left").select("id", "label", "vector", reason.alias("reason"))
+
+    def _unfit(self):
+        """Why a row can't be inserted, as far as the row alone tells."""
+        return (
             F.when(F.col("id").isNull() | (F.col("id") < 0), "bad id")
             .when(F.col("vector").isNull() | (F.size("vector") != self.dim), "bad dimension")
             .when(F.exists("vector", lambda x: x.isNull()), "null component")
-            .when(F.col("_n").isNotNull(), "repeated id")
-            .when(F.col("_taken"), "id exists")
         )
-        return named.join(many, "id", "left").join(taken, "id", "left").select("id", "label", "vector", reason.alias("reason"))
 
     def insert_rows(self, rows: DataFrame, beside: Callable[[str], None] | None = None) -> int:
-        """Insert all rows, or none and raise."""
-        checked = self.check(rows).cache()
+        """Insert all rows, or none and raise.
+
+        The rows are written once and checked as they lie there, by ids without their vectors; a batch that fails goes unseen.
+        """
+        self._writable()
+        name = self._staged(_named(rows).select("id", F.lit(0).alias("step"), F.lit("I").alias("op"), _cut(F.col("label")).alias("label"), "vector"))
         try:
-            bad = checked.where("reason IS NOT NULL").select("reason", "id").orderBy("id").limit(1).collect()
-            if bad:
-                kind = AlreadyExists if bad[0]["reason"] in ("id exists", "repeated id") else Invalid
-                self._fail(kind(f"{bad[0]['reason']}: {bad[0]['id']}"))
-            return self._insert(checked, beside)
-        finally:
-            checked.unpersist()
+            ids = self.log([name]).select("id", self._unfit().alias("reason")).groupBy("id").agg(F.count("*").alias("n"), F.min("reason").alias("reason"))
+            ids = ids.withColumn("reason", F.coalesce("reason", F.when(F.col("n") > 1, "repeated id")))
+            n, least, largest, bad = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("id"), F.max("id"), F.count("reason")).first()
+            # ids from the next one on were never there
+            fresh = not self.manifest["batches"] or (least is not None and least >= self.next_id)
+            if bad or (n and not fresh):
+                taken = self.live(vectors=False).select("id", F.lit("id exists").alias("taken"))
+                why = ids.join(taken, "id", "left").select("id", F.coalesce("reason", "taken").alias("reason")).where("reason IS NOT NULL").orderBy("id").limit(1).collect()
+                if why:
+                    kind = AlreadyExists if why[0]["reason"] in ("id exists", "repeated id") else Invalid
+                    self._fail(kind(f"{why[0]['reason']}: {why[0]['id']}"))
+            if n:
+                # one insert an id, so operations of a batch need no order among themselves
+                self._commit(name, 1, largest, beside, fresh)
+        except BaseException:
+            if name not in self.manifest["batches"]:
+                files.remove(self.spark, f"{self.path}/{name}")
+            raise
+        if not n:
+            files.remove(self.spark, f"{self.path}/{name}")
+        return n
 
     def _insert(self, good: DataFrame, beside: Callable[[str], None] | None = None, mark: tuple[str, int] | None = None) -> int:
         n, least, largest = good.agg(F.count("*"), F.min("id"), F.max("id")).first()
@@ -251,12 +290,15 @@ class VectorTable:
 
     def change_rows(self, ids: DataFrame, op: str) -> int:
         """Delete (`D`, ids `(id)`) or update (`U`, `(id, vector)`) all ids that are there; how many."""
-        there = ids.select("id", *["vector"] * (op == "U")).dropDuplicates(["id"]).join(self.live().select("id"), "id", "left_semi").cache()
-        n = there.count()
+        self._writable()
+        there = ids.select("id", *["vector"] * (op == "U")).dropDuplicates(["id"]).join(self.live(vectors=False).select("id"), "id", "left_semi")
+        vector = F.col("vector") if op == "U" else F.lit(None).cast(VECTOR)
+        name = self._staged(there.select("id", F.lit(0).alias("step"), F.lit(op).alias("op"), F.lit(None).cast("string").alias("label"), vector.alias("vector")))
+        n = self.log([name]).count()
         if n:
-            vector = F.col("vector") if op == "U" else F.lit(None).cast(VECTOR)
-            self.append(there.select("id", F.lit(0).alias("step"), F.lit(op).alias("op"), F.lit(None).cast("string").alias("label"), vector.alias("vector")), 1, None)
-        there.unpersist()
+            self._commit(name, 1, None)
+        else:
+            files.remove(self.spark, f"{self.path}/{name}")
         return n
 
     def find(self, id: int) -> Row | None:
@@ -307,10 +349,16 @@ class VectorTable:
         return Access(self)
 
 
-def _folded(log: DataFrame) -> DataFrame:
-    """(id, label, vector) that the operations leave."""
-    last = log.groupBy("id").agg(F.max_by(F.struct("op", "vector"), "seq").alias("last"), F.max_by("label", F.when(F.col("op") == "I", F.col("seq"))).alias("label"))
-    return last.where("last.op <> 'D'").select("id", "label", F.col("last.vector").alias("vector"))
+def _named(rows: DataFrame) -> DataFrame:
+    """(id, label, vector) of rows that may lack labels."""
+    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("string")
+    return rows.select(F.col("id").cast("long").alias("id"), label.alias("label"), F.col("vector").cast(VECTOR).alias("vector"))
+
+
+def _folded(log: DataFrame, vectors: bool = True) -> DataFrame:
+    """(id, label, vector), or (id, label), that the operations leave."""
+    last = log.groupBy("id").agg(F.max_by(F.struct("op", *["vector"] * vectors), "seq").alias("last"), F.max_by("label", F.when(F.col("op") == "I", F.col("seq"))).alias("label"))
+    return last.where("last.op <> 'D'").select("id", "label", *[F.col("last.vector").alias("vector")] * vectors)
 
 
 def _cut(label):

@@ -232,3 +232,11 @@ def test_full_width_over_many_small_parts(data):
         assert found(graph.search(asks, index, K, 1000)) == truth(Metric.L2, x, q)
     for g in (graph.small_world(np.arange(N), x, Metric.L2, 3), graph.pruned_flat(np.arange(N), x, Metric.L2, 4, 16)):
         assert len(g.reached()) == N
+
+
+def test_pairs_of_blocks_are_a_task_each(spark):
+    """The numbers that pairs of blocks get fall to as many partitions, so no task has two pairs."""
+    for n in (1, 7, 24):
+        keys = spark.createDataFrame([(k,) for k in topk.spread(spark.range(1), n)], "pair int")
+        parts = keys.repartition(n, "pair").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts == n == keys.count()

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -269,3 +270,23 @@ def test_stream(spark, place):
     again = ingest.Ingest(VectorTable.open(spark, f"{place}/t"), f"{place}/r", f"{place}/c")
     again.take(rows, 2)
     assert (run.inserted, run.errors, again.errors, t.count(), spark.read.parquet(f"{place}/r").count()) == (n, bad, 0, n, rejected)
+
+
+def test_inserts_and_labels_leave_vectors_where_they_are(spark, place):
+    """A batch is written once, checked as it lies there and gone if it fails; ids and labels are read without vectors."""
+    folder = Path(place.removeprefix("file://")) / "log"
+    t = VectorTable.from_rows(spark, place, spark.range(20).select("id", F.array(F.col("id").cast("float"), F.lit(0.0)).alias("vector"), F.lit("a").alias("label")))
+    schema = "id long, vector array<float>"
+    for bad, kind in (([(30, [1.0, 2.0]), (30, [1.0, 2.0])], AlreadyExists), ([(5, [1.0, 2.0]), (30, [1.0, 2.0])], AlreadyExists), ([(30, [1.0])], Invalid), ([(31, [1.0, None])], Invalid), ([(None, [1.0, 2.0])], Invalid)):
+        with pytest.raises(kind):
+            t.insert_rows(spark.createDataFrame(bad, schema))
+        assert t.count() == 20 and len(list(folder.iterdir())) == 1
+    assert t.insert_rows(spark.createDataFrame([], schema)) == 0
+    assert t.change_rows(spark.createDataFrame([(77,)], "id long"), "D") == 0 and len(list(folder.iterdir())) == 1
+    t.insert_rows(spark.createDataFrame([(22, [1.0, 2.0]), (21, [1.0, 2.0])], schema))
+    t.change_rows(spark.createDataFrame([(3, [9.0, 9.0]), (3, [9.0, 9.0])], schema), "U")
+    t.change_rows(spark.createDataFrame([(4,)], "id long"), "D")
+    assert t.count() == 21 == t.live(vectors=False).count() and t.get(3) == ([9.0, 9.0], "a")
+    plan = t.live(vectors=False)._jdf.queryExecution().executedPlan().toString()
+    assert "vector" not in plan
+    assert sorted(map(tuple, t.live(vectors=False).collect())) == sorted((r["id"], r["label"]) for r in t.live().collect())
