@@ -44,7 +44,7 @@ def decode(codes: DataFrame, low: list[float], high: list[float]) -> DataFrame:
     return codes.select("id", F.zip_with(F.lit(low), up, lambda a, x: a + x).alias("vector"))
 
 
-def search(queries: DataFrame, codes: DataFrame, low: list[float], high: list[float], k: int, metric: Metric = Metric.L2) -> DataFrame:
-    """Exact distances to what the codes stand for, over all codes."""
+def search(queries: DataFrame, codes: DataFrame, low: list[float], high: list[float], k: int, metric: Metric = Metric.L2, most: int | None = None) -> DataFrame:
+    """Exact distances to what the codes stand for, over all codes; `most` is a number that theirs doesn't exceed."""
     base, step = np.array(low), (np.array(high) - np.array(low)) / 255
-    return scan(queries, codes, k, metric, lambda b: base + kernels.matrix(b["codes"]) * step, ["id", "codes"])
+    return scan(queries, codes, k, metric, lambda b: base + kernels.matrix(b["codes"]) * step, ["id", "codes"], most)

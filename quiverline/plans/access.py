@@ -150,7 +150,7 @@ class Access:
     def _found(self, queries: DataFrame, data: DataFrame, k: int, nprobe: int | None, width: int | None, allow_l2_ranking: bool, gone: DataFrame | None) -> DataFrame:
         p, kind, metric = self.params, self.table.index_type, self.table.metric
         if kind == Index.SQ:
-            return sq.search(queries, data, *self.model, k, metric)
+            return sq.search(queries, data, *self.model, k, metric, self.table.most())
         if kind == Index.IVF:
             return self.model.search(queries, data, k, metric, nprobe or p.ivf_nprobe)
         if kind == Index.IVF_PQ:

@@ -240,3 +240,14 @@ def test_pairs_of_blocks_are_a_task_each(spark):
         keys = spark.createDataFrame([(k,) for k in topk.spread(spark.range(1), n)], "pair int")
         parts = keys.repartition(n, "pair").select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts == n == keys.count()
+
+
+def test_a_known_number_of_rows_is_not_counted(data, monkeypatch):
+    """Codes that are dealt to blocks by a known bound of their number give the same result, and aren't read for it."""
+    rows, asks, _, _ = data
+    low, high = sq.ranges(rows)
+    codes, counted, count = sq.encode(rows, low, high), [], topk.blocks
+    want = found(sq.search(asks, codes, low, high, K))
+    monkeypatch.setattr(topk, "BLOCK_FLOATS", DIM * 10)
+    monkeypatch.setattr(topk, "blocks", lambda rows, vector: counted.append(vector) or count(rows, vector))
+    assert found(sq.search(asks, codes, low, high, K, most=2 * N // 20)) == want and counted == ["query"]
