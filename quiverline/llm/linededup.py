@@ -12,7 +12,8 @@ the join is exact.  Lines of equal text are one throughout.  In a large group of
 meet the earliest line of each of their rare tokens; only lines that this leaves alone go on to meet all earlier ones.
 
 Defined results: a null or empty text stays as it is; blank lines stay and match nothing; rows with a null doc_id stay
-whole and match nothing; rows that repeat a doc_id count as the same document, and keep what it keeps; a document
+whole and match nothing; rows that repeat a doc_id count as the same document, and keep what it keeps: a place stays in
+all of them if the line of any stays; a document
 whose lines all go has an empty text and stays; an empty table gives an empty result; lines and texts of any length are
 taken whole; other columns are ignored, or kept as they are by `rewrite`, whatever their names.
 """
@@ -32,8 +33,8 @@ _BUCKET_BITS = 17
 BUCKETS = 1 << _BUCKET_BITS
 #: Turns that the tokens are joined in, with the earliest lines and with all.
 PIVOT_TURNS, PAIR_TURNS = 2, 3
-#: Words from which on a line has four parity words of 64 bits instead of two.
-LONG = 160
+#: Words from which on a line has two parity words of 64 bits instead of one, and four instead of two.
+LONG, LONGER = 80, 160
 #: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: Bits of a token's place in the order that are its rarity's class.
@@ -81,18 +82,19 @@ class _Places:
         return docs.withColumn("key", F.col("doc_id")) if self.ranked is None else docs.join(self.ranked, "doc_id", "left")
 
 
-def line_table(docs: DataFrame, places: _Places) -> tuple[DataFrame, DataFrame]:
-    """(lines of all documents, different lines): (key, place, h1, h2, seq) and (h1, h2, seq, r), the first place and the token set.
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\r\x0b\x0c")) == ""
 
-    Lines are the same here if their lower-cased text is; the hashes have 128 bits together.
+
+def line_table(docs: DataFrame, places: _Places) -> DataFrame:
+    """(seq, r) of the different lines of all documents that aren't blank: the first place and the token set.
+
+    Lines are the same here if their lower-cased text is.
     """
-    split = places.keyed(docs).where("key IS NOT NULL AND text IS NOT NULL").select("key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    low = F.lower("line")
-    hashed = split.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select(
-        "key", "place", low.alias("low"), F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2"), F.shiftleft("key", places.bits).bitwiseOR(F.col("place").cast("long")).alias("seq")
-    )
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("seq", "low")).alias("f")).select("h1", "h2", "f.seq", _set(F.col("f.low")).alias("r"))
-    return hashed.select("key", "place", "h1", "h2", "seq"), first
+    lines = places.keyed(docs).where("key IS NOT NULL AND text IS NOT NULL").select("key", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(~_blank(F.col("line")))
+    lines = lines.select(F.lower("line").alias("low"), F.shiftleft("key", places.bits).bitwiseOR(F.col("place").cast("long")).alias("seq"))
+    # the text is the key: as a value it would need sorted aggregation
+    return lines.groupBy("low").agg(F.min("seq").alias("seq")).select("seq", _set(F.col("low")).alias("r"))
 
 
 def rarity(lines: DataFrame) -> list[int]:
@@ -108,40 +110,43 @@ def rarity(lines: DataFrame) -> list[int]:
 def _heads(lines: DataFrame, classes: list[int]) -> DataFrame:
     """(seq, n, w0..w3, head): the prefix of each line's set, rarest first, and its parity words.
 
-    A token sets or clears one bit of the words, so each bit in which two lines' words differ is a token that only one has.  Long
-    lines have four words, others two.  Sets of fewer than four words are similar to none but themselves, so their whole set is
-    their one token.
+    A token sets or clears one bit of the words, so each bit in which two lines' words differ is a token that only one has.  All lines
+    have the parity of all tokens in 64 bits, w0; long lines have that of half of them besides, w1, and longer ones that of a quarter
+    in w2 and of another in w3; words that a line lacks are null.  Sets of fewer than four words are similar to none but themselves,
+    so their whole set is their one token.
     """
     # a constant that Spark folds into one array
     table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<tinyint>")
 
     def ranked(t: Column) -> Column:
         kind = F.shiftleft(F.get(table, _bucket(t)).cast("long"), 63 - _CLASS_BITS)
-        return kind.bitwiseOR(F.shiftrightunsigned(t, _CLASS_BITS))
+        # never null, and said to be so: arrays that may hold nulls are sorted as objects
+        return F.coalesce(kind.bitwiseOR(F.shiftrightunsigned(t, _CLASS_BITS)), F.lit(0).cast("long"))
 
     n = F.size("r")
     whole = F.array(F.xxhash64(F.sort_array("r")).bitwiseOR(F.lit(-(1 << 63))))
     head = F.when(n < 4, whole).otherwise(F.slice(F.sort_array(F.transform("r", ranked)), F.lit(1), (n / 5).cast("int") + 1))
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
-    def word(w: int, of: int) -> Column:
-        """Parity of the tokens that fall to one of `of` words."""
-        mask = F.lit((of - 1) * 64).cast("long")
-        mine = lambda t: F.when(t.bitwiseAND(mask) == 64 * w, F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int"))).otherwise(zero)
-        return F.aggregate("r", zero, lambda a, t: a.bitwiseXOR(mine(t)))
+    def flipped(a: Column, t: Column) -> Column:
+        return a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))
 
-    words = [F.when(n < LONG, word(w, 2)).otherwise(word(w, 4)) if w < 2 else F.when(n >= LONG, word(w, 4)) for w in range(4)]
+    def word(mask: int, bits: int) -> Column:
+        """Parity of the tokens that have these bits under the mask."""
+        return F.aggregate("r", zero, lambda a, t: F.when(t.bitwiseAND(F.lit(mask).cast("long")) == bits, flipped(a, t)).otherwise(a))
+
+    words = [F.aggregate("r", zero, flipped), F.when(n >= LONG, word(64, 64)), F.when(n >= LONGER, word(192, 128)), F.when(n >= LONGER, word(192, 192))]
     return lines.select("seq", n.alias("n"), *(x.alias(name) for x, name in zip(words, _WORDS)), head.alias("head"))
 
 
 def _apart(words: list[tuple[Column, Column]]) -> Column:
-    """Bits in which two lines' words differ: a lower bound of the tokens that only one of them has."""
-    return reduce(Column.__add__, (F.bit_count(a.bitwiseXOR(b)) for a, b in words))
-
-
-def _folded(name: str = "") -> list[Column]:
-    """Two words for every line: four words fold into the two that a shorter line would have."""
-    return [F.col(f"{name}w{w}").bitwiseXOR(F.coalesce(f"{name}w{w + 2}", F.lit(0).cast("long"))).alias(f"w{w}") for w in range(2)]
+    """Bits in which two lines' words differ, in as many words as both have: a lower bound of the tokens that only one of them has."""
+    w = [a.bitwiseXOR(b) for a, b in words]
+    parts = [[w[0]], [w[0].bitwiseXOR(w[1]), w[1]]]
+    if len(w) == 4:
+        parts.append([w[0].bitwiseXOR(w[1]).bitwiseXOR(w[2]), w[1].bitwiseXOR(w[3]), w[2], w[3]])
+    # null where a line lacks a word
+    return F.coalesce(*(reduce(Column.__add__, map(F.bit_count, p)) for p in reversed(parts)))
 
 
 def _turn(rows: DataFrame, turn: int, turns: int) -> DataFrame:
@@ -156,7 +161,7 @@ def _short(n: str) -> Column:
 
 def _to_pivots(heads: DataFrame, turn: int) -> DataFrame:
     """(x, y): lines y and the earliest line x of each token of their short prefix, if length and parity allow them to be similar."""
-    rare = _turn(heads.select("seq", "n", *_folded(), F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn, PIVOT_TURNS)
+    rare = _turn(heads.select("seq", "n", "w0", "w1", F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn, PIVOT_TURNS)
     earliest = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.min_by("w0", "seq").alias("xw0"), F.min_by("w1", "seq").alias("xw1"), F.count("*").alias("c"))
     alike = _apart([(F.col("w0"), F.col("xw0")), (F.col("w1"), F.col("xw1"))]) * 9 <= F.col("n") + F.col("xn")
     met = rare.join(earliest.where("c > 1").drop("c"), "token").where((F.col("seq") > F.col("x")) & (F.col("xn") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("xn") * 4) & alike)
@@ -181,9 +186,7 @@ def _pairs(heads: DataFrame, turn: int) -> DataFrame:
     first = (sn < ln) | ((sn == ln) & (F.col("s") < F.col("l")))
     alone = F.when(F.col("s") < F.col("l"), F.col("lk")).otherwise(F.col("sk")).bitwiseAND(F.lit(1)) == 1
     room = F.least(sn - F.col("sp"), ln - F.col("lp")) * 9 >= (sn + ln) * 4
-    # null, and so replaced, where a line has two words only
-    four = _apart([(F.col(f"s{w}"), F.col(f"l{w}")) for w in _WORDS])
-    alike = F.coalesce(four, _apart(list(zip(_folded("s"), _folded("l"))))) * 9 <= sn + ln
+    alike = _apart([(F.col(f"s{w}"), F.col(f"l{w}")) for w in _WORDS]) * 9 <= sn + ln
     met = s.join(l, "token").where((sn * 5 >= ln * 4) & first & alike & alone & room)
     return met.select(F.least("s", "l").alias("x"), F.greatest("s", "l").alias("y")).distinct()
 
@@ -225,41 +228,48 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     return out
 
 
-def _removed(docs: DataFrame) -> tuple[_Places, DataFrame]:
-    """(places, (key, gone)): the places of the lines that go, for documents that lose any, of `docs(doc_id, text)`."""
+def _kept(docs: DataFrame) -> tuple[_Places, DataFrame]:
+    """(places, (key, kept)): the places of the lines that stay, blank ones left out, of `docs(doc_id, text)`.
+
+    They are the first places of their lines, so what stays is known without the texts; all other lines are copies.
+    """
     places = _Places(docs)
-    every, first = line_table(docs, places)
-    first = materialise(first, "line-table", dictionary=False)
-    near = similar_lines(first.select("seq", "r"))
-    verdict = first.join(near.select(F.col("y").alias("seq"), F.lit(True).alias("near")), "seq", "left").select("h1", "h2", F.col("seq").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = every.join(verdict, ["h1", "h2"]).where(F.col("near") | (F.col("seq") > F.col("first")))
-    removed = materialise(gone.groupBy("key").agg(F.collect_set("place").alias("gone")), "line-removed")
+    first = materialise(line_table(docs, places), "line-table", dictionary=False)
+    near = similar_lines(first)
+    stay = first.select("seq").join(near.select(F.col("y").alias("seq")), "seq", "left_anti")
+    place = F.col("seq").bitwiseAND(F.lit((1 << places.bits) - 1)).cast("int")
+    kept = materialise(stay.groupBy(F.shiftright("seq", places.bits).alias("key")).agg(F.collect_set(place).alias("kept")), "line-kept")
     drop_tables(first, near)
-    return places, removed
+    return places, kept
 
 
-def _without() -> Column:
-    kept = F.filter(F.split("text", "\n"), lambda _x, i: ~F.array_contains(F.col("gone"), i))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _rewritten(docs: DataFrame, places: _Places, kept: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of `docs(doc_id, text, ..)`, with `text` rewritten, its lines counted before (`n_lines`) and after (`n_kept`)."""
+    none = F.array().cast("array<int>")
+    # by a shuffle at any size, so that small inputs run the plan of large ones, where a row for each document can't be broadcast
+    split = places.keyed(docs).join(kept.hint("merge"), "key", "left").select(*columns, "text", F.split("text", "\n").alias("lines"), F.when(F.col("key").isNotNull(), F.coalesce("kept", none)).alias("kept"))
+    # rows that repeat an id may have fewer lines
+    within = F.filter("kept", lambda i: i < F.size("lines"))
+    blank = F.array_remove(F.transform("lines", lambda x, i: F.when(_blank(x), i).otherwise(-1)), F.lit(-1))
+    stay = split.select(*columns, "text", "lines", F.array_union(within, blank).alias("stay"))
+    whole = F.col("stay").isNull() | (F.size("stay") == F.size("lines"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    # the places are looked up in order, so a text of many lines costs no more than sorting them
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(F.sort_array("stay"), lambda i: F.get("lines", i)), "\n"))
+    return stay.select(*columns, text.alias("text"), n_lines.cast("long").alias("n_lines"), F.when(whole, n_lines).otherwise(F.size("stay")).cast("long").alias("n_kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed), one row per row of `docs`, texts without the lines that go."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places, removed = _removed(docs)
-    return places.keyed(docs).join(removed, "key", "left").select(
-        "doc_id",
-        _without().alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    out = _rewritten(docs, *_kept(docs), "doc_id")
+    return out.select("doc_id", "text", "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with `text` rewritten and `n_chars` counted anew."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places, removed = _removed(narrow)
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = places.keyed(whole).join(removed, "key", "left").select("row", _without().alias("text"), F.col("gone").isNull().alias("same"))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    out = _rewritten(whole, *_kept(narrow), "row")
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_kept") == F.col("n_lines"), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
     return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -302,6 +302,35 @@ def test_lines_of_many_words_and_parity_words(spark):
     assert {r["doc_id"] for r in linededup.dedup_lines(docs).where("n_removed > 0").collect()} == want and 5 < len(want) < 36
 
 
+def test_line_table_and_prefixes_are_cheap(spark, frame):
+    """No sorted aggregation of texts, no sorting of boxed numbers, and texts read twice only: for their lines and to be rewritten."""
+    docs = frame([(1, "a b c d\nx y"), (2, "x y\nnew")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lines = linededup.line_table(docs, linededup._Places(docs))
+    assert "SortAggregate" not in plan(lines) and "HashAggregate" in plan(lines)
+    heads = linededup._heads(lines, [0] * linededup.BUCKETS)
+    head = heads.schema["head"].dataType
+    assert not head.containsNull
+    out = plan(linededup.dedup_lines(docs))
+    assert "xxhash64" not in out and "array_contains" not in out and out.count("split(") == 1
+
+
+def test_documents_of_many_lines_and_repeated_ids(spark):
+    rng = random.Random(8)
+    lines = [f"w{rng.randrange(40)} x{rng.randrange(40)} y{rng.randrange(30)} z{rng.randrange(4)}" if rng.random() < 0.9 else " \t" for _ in range(30_000)]
+    seen, kept = set(), []
+    for x in lines:
+        words = frozenset(x.split())
+        if not words or words not in seen:
+            kept.append(x)
+        seen.add(words)
+    rows = [(1, "\n".join(lines)), (2, "one two three four\n\nfive six"), (2, "five six seven eight nine\nalone here"), (3, "FOUR three two one"), (4, " \n\n")]
+    got = {(r["doc_id"], r["n_lines"]): r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 30_000]["text"] == "\n".join(kept) and got[1, 30_000]["n_removed"] == 30_000 - len(kept) > 100
+    assert got[2, 3]["text"] == rows[1][1] and got[2, 2]["text"] == rows[2][1] and got[4, 3]["text"] == " \n\n"
+    assert got[3, 1]["text"] == "" and got[3, 1]["n_removed"] == 1
+
+
 # -- quality ------------------------------------------------------------------------------------------------------------
 
 
