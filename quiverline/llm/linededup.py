@@ -32,7 +32,7 @@ from .common import drop_tables, materialise
 _BUCKET_BITS = 17
 BUCKETS = 1 << _BUCKET_BITS
 #: Turns that the tokens are joined in, with the earliest lines and with all.
-PIVOT_TURNS, PAIR_TURNS = 2, 3
+PIVOT_TURNS, PAIR_TURNS = 1, 2
 #: Words from which on a line has two parity words of 64 bits instead of one, and four instead of two.
 LONG, LONGER = 80, 160
 #: Rows of one long that are broadcast at most; beyond, they are joined by a shuffle.
@@ -162,9 +162,11 @@ def _short(n: str) -> Column:
 def _to_pivots(heads: DataFrame, turn: int) -> DataFrame:
     """(x, y): lines y and the earliest line x of each token of their short prefix, if length and parity allow them to be similar."""
     rare = _turn(heads.select("seq", "n", "w0", "w1", F.explode(F.slice("head", F.lit(1), _short("n"))).alias("token")), turn, PIVOT_TURNS)
-    earliest = rare.groupBy("token").agg(F.min("seq").alias("x"), F.min_by("n", "seq").alias("xn"), F.min_by("w0", "seq").alias("xw0"), F.min_by("w1", "seq").alias("xw1"), F.count("*").alias("c"))
+    # in order, so that each row sees its token's first one: neither a second reading of the prefixes nor a join
+    before = Window.partitionBy("token").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rare.select("seq", "n", "w0", "w1", *(F.first(c).over(before).alias(x) for c, x in (("seq", "x"), ("n", "xn"), ("w0", "xw0"), ("w1", "xw1"))))
     alike = _apart([(F.col("w0"), F.col("xw0")), (F.col("w1"), F.col("xw1"))]) * 9 <= F.col("n") + F.col("xn")
-    met = rare.join(earliest.where("c > 1").drop("c"), "token").where((F.col("seq") > F.col("x")) & (F.col("xn") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("xn") * 4) & alike)
+    met = met.where((F.col("seq") > F.col("x")) & (F.col("xn") * 5 >= F.col("n") * 4) & (F.col("n") * 5 >= F.col("xn") * 4) & alike)
     return met.select("x", F.col("seq").alias("y")).distinct()
 
 

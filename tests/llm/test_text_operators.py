@@ -315,6 +315,16 @@ def test_line_table_and_prefixes_are_cheap(spark, frame):
     assert "xxhash64" not in out and "array_contains" not in out and out.count("split(") == 1
 
 
+def test_earliest_lines_are_met_without_a_join(spark, frame):
+    docs = frame([(3, "a b c d e"), (1, "e d c b a"), (2, "b a c d e\nf g h i"), (4, "x y"), (5, "y x")])
+    heads = linededup._heads(linededup.line_table(docs, linededup._Places(docs)), [0] * linededup.BUCKETS)
+    met = linededup._to_pivots(heads, 0)
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Generate explode") == 1
+    bits = linededup._Places(docs).bits
+    assert linededup.PIVOT_TURNS > 1 or sorted((r["x"] >> bits, r["y"] >> bits) for r in met.collect()) == [(1, 2), (1, 3), (4, 5)]
+
+
 def test_documents_of_many_lines_and_repeated_ids(spark):
     rng = random.Random(8)
     lines = [f"w{rng.randrange(40)} x{rng.randrange(40)} y{rng.randrange(30)} z{rng.randrange(4)}" if rng.random() < 0.9 else " \t" for _ in range(30_000)]
